@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..tables import table
-from . import syntax
+from . import functions, syntax
 
 
 def p6_found(spark, sf_dir):
@@ -18,5 +18,17 @@ def p6_rates(spark, sf_dir):
     return syntax.syntax_rates(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_failures, p6_rates)}
+def p7_found(spark, sf_dir):
+    return functions.documented_methods(table(spark, sf_dir, "code_method"))
+
+
+def p7_pairs(spark, sf_dir):
+    return functions.method_pairs(table(spark, sf_dir, "code_method"))
+
+
+def p7_file_functions(spark, sf_dir):
+    return functions.file_pairs(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions)}
 ORACLES: dict[str, str] = {}
