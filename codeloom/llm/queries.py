@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from ..tables import table
-from . import functions, syntax
+from . import functions, provenance, syntax
+
+
+def p4_found(spark, sf_dir):
+    return provenance.foreign_files(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text"))
+
+
+def p4_scores(spark, sf_dir):
+    return provenance.judge_files(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text"))
 
 
 def p6_found(spark, sf_dir):
@@ -30,5 +38,5 @@ def p7_file_functions(spark, sf_dir):
     return functions.file_pairs(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions)}
 ORACLES: dict[str, str] = {}
