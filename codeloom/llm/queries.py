@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..tables import table
-from . import functions, provenance, syntax
+from . import distinctive, functions, mixing, provenance, syntax, tokenizer
 
 
 def p4_found(spark, sf_dir):
@@ -14,6 +14,14 @@ def p4_scores(spark, sf_dir):
     return provenance.judge_files(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text"))
 
 
+def p5_found(spark, sf_dir):
+    return distinctive.top_terms(table(spark, sf_dir, "fts_entry"))
+
+
+def p5_scores(spark, sf_dir):
+    return distinctive.score_terms(table(spark, sf_dir, "fts_entry"))
+
+
 def p6_found(spark, sf_dir):
     return syntax.invalid_files(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text")).select("file_id")
 
@@ -38,5 +46,37 @@ def p7_file_functions(spark, sf_dir):
     return functions.file_pairs(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions)}
-ORACLES: dict[str, str] = {}
+def p8_ids(spark, sf_dir):
+    return tokenizer.encode_texts(table(spark, sf_dir, "documents"))
+
+
+def p8_round_trip(spark, sf_dir):
+    return tokenizer.round_trip(table(spark, sf_dir, "documents"))
+
+
+def p9_mix(spark, sf_dir):
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+
+
+def p9_shares(spark, sf_dir):
+    targets = table(spark, sf_dir, "mix_target")
+    return mixing.mix_shares(*mixing.mix_documents(table(spark, sf_dir, "documents"), targets), targets)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p4_found, p4_scores, p5_found, p5_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions,
+        p8_ids, p8_round_trip, p9_mix, p9_shares,
+    )
+}
+
+_TERMS = """WITH once AS (SELECT id, max(tokens) AS tokens FROM fts_entry WHERE id IS NOT NULL AND tokens IS NOT NULL GROUP BY id),
+cnt AS (SELECT id, term, count(*) AS c FROM (SELECT id, lower(trim(unnest(tokens))) AS term FROM once) WHERE term <> '' GROUP BY ALL),
+df AS (SELECT term, count(*) AS d FROM cnt GROUP BY term)"""
+
+ORACLES: dict[str, str] = {
+    "p5_found": _TERMS + """
+SELECT id, term FROM (SELECT id, cnt.term, row_number() OVER (PARTITION BY id ORDER BY c * log2(((SELECT count(*) FROM once) + 1) / d) DESC, cnt.term) AS rn
+  FROM cnt JOIN df USING (term) WHERE d >= 2) WHERE rn = 1""",
+}
