@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..tables import table
-from . import distinctive, functions, mixing, provenance, syntax, tokenizer
+from . import distinctive, functions, mixing, personal, provenance, syntax, tokenizer
 
 
 def p4_found(spark, sf_dir):
@@ -63,11 +63,27 @@ def p9_shares(spark, sf_dir):
     return mixing.mix_shares(*mixing.mix_documents(table(spark, sf_dir, "documents"), targets), targets)
 
 
+def _personal(spark, sf_dir):
+    return table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_name")
+
+
+def p10_found(spark, sf_dir):
+    return personal.personal_cases(*_personal(spark, sf_dir))
+
+
+def p10_redacted(spark, sf_dir):
+    return personal.redact_documents(*_personal(spark, sf_dir))
+
+
+def p10_surrogates(spark, sf_dir):
+    return personal.redact_documents(*_personal(spark, sf_dir), mode="surrogate")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p4_found, p4_scores, p5_found, p5_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions,
-        p8_ids, p8_round_trip, p9_mix, p9_shares,
+        p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_surrogates,
     )
 }
 
