@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..session import checkpoint
 from ..tables import table
-from . import distinctive, functions, mixing, personal, provenance, syntax, tokenizer
+from . import distinctive, functions, mixing, personal, provenance, similar, syntax, tokenizer
+
+
+def p3_found(spark, sf_dir):
+    return similar.similar_pairs(table(spark, sf_dir, "search_vector"))
+
+
+def p3_search(spark, sf_dir):
+    """Every id divisible by 50 as a query against all rows."""
+    vectors = table(spark, sf_dir, "search_vector")
+    number = F.try_to_number(F.regexp_extract("id", r"(\d+)$", 1), F.lit("999999999999999999"))
+    index = checkpoint(similar.build_index(vectors))
+    found = similar.search_index(index, vectors.where(number % 50 == 0))
+    return found.select("id", "other", F.round("similarity", 6).alias("similarity"))
 
 
 def p4_found(spark, sf_dir):
@@ -82,7 +98,7 @@ def p10_surrogates(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p4_found, p4_scores, p5_found, p5_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions,
+        p3_found, p3_search, p4_found, p4_scores, p5_found, p5_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions,
         p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_surrogates,
     )
 }
