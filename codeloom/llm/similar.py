@@ -56,9 +56,11 @@ def _unit(values: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(vectors: DataFrame, dim: int, key: str = "id", vector: str = "vector") -> DataFrame:
-    """Rows with an id and a vector of the wanted length; values are checked where they are used."""
-    return vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) == dim)).select(
-        F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector")
+    """Rows with an id and a vector of the wanted length, all values finite, one at least not zero."""
+    most, least = F.array_max("vector"), F.array_min("vector")  # NaN counts as greatest
+    return vectors.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vector")).where(
+        F.col("id").isNotNull() & (F.size(F.array_compact("vector")) == dim) & (F.size("vector") == dim)
+        & (most < F.lit(float("inf"))) & (least > F.lit(float("-inf"))) & ((most != 0) | (least != 0))
     )
 
 
