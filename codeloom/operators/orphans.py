@@ -56,9 +56,6 @@ def _as_delta(df: DataFrame, refs: Column, found: Column, found_since: Column, r
     )
 
 
-_NEVER = F.to_timestamp(F.lit("0001-01-01 00:00:00"))
-
-
 def references(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(references, existences) of the current records.
 
@@ -67,7 +64,7 @@ def references(calls: DataFrame, classes: DataFrame, methods: DataFrame) -> tupl
     call = current_rows(calls, ["caller_fqn", "callee_fqn"])
     klass = current_rows(classes, ["deleted_at", "full_name", "parent_fqns"]).where("deleted_at is null")
     method = current_rows(methods, ["deleted_at", "full_name", "class_id"]).where("deleted_at is null")
-    when = F.coalesce("first_arrival", _NEVER).alias("since")
+    when = F.coalesce("first_arrival", F.to_timestamp(F.lit("0001-01-01"))).alias("since")
     month = F.date_format("indexed_at", "yyyy-MM").alias("month")
 
     def rows(df: DataFrame, table: str, pairs: Column) -> DataFrame:
