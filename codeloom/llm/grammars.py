@@ -121,12 +121,12 @@ tp1 = ann* ID ('extends' type ('&' type)*)?
 tps = '<' tp1 (',' tp1)* '>'
 lam = (ID / @lparams) '->'
 un = '+' / '-' / '!' / '~' / '++' / '--'
-pre = lam / un / @cast &(ID / NUM / STR / @args / '!' / '~' / 'new' / 'this' / 'super' / 'switch' / @cast / @lparams)
+pre = lam !@block / un / @cast &(ID / NUM / STR / @args / '!' / '~' / 'new' / 'this' / 'super' / 'switch' / @cast / @lparams)
 made = ann* ID ta3? ('.' ID ta3?)*
 new = 'new' made ((@idx / @dim)+ @arrinit? / @args @cbody?)
 core = NUM / STR / new / ID ta3 (@dim)* &'::' / ID / 'this' / 'super' / @args / 'switch' @args @sblock
 post = '.' (ID / 'this' / 'super' / 'class' / new / ta3 ID) / @args / @idx / @dim / '++' / '--' / '::' ta3? (ID / 'new')
-operand = lam+ @block / pre* (lam @block / core post*)
+operand = pre* (lam @block / core post*)
 shift = '<' '<' / '>' '>' '>' '=' / '>' '>' '=' / '>' '>' '>' / '>' '>' / '>' '>='
 bin = shift / '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '<=' / '>=' / '<' / '>' / '==' / '!=' / '&&' / '||' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<='
 isa = 'instanceof' 'final'? type (ID / @args ID?)?
@@ -144,9 +144,10 @@ label = 'case' lab (',' lab)* ('if' expr)? / 'default'
 lab = '-'? NUM / STR / 'default' / made (ID / @args ID?)? 
 case = label (':' / '->' (@block / 'throw' expr ';' / expr ';')) / stmt
 jump = 'return' expr? ';' / 'throw' expr ';' / ('break' / 'continue') ID? ';' / 'assert' expr (':' expr)? ';' / 'yield' expr ';'
-whole = 'try' @res? @block ('catch' @catchp @block)* ('finally' @block)? / 'switch' @args @sblock / 'synchronized' @args @block
+whole = 'do' (@block / expr ';') 'while' @args ';' / 'try' @res? @block ('catch' @catchp @block)* ('finally' @block)? / 'switch' @args @sblock / 'synchronized' @args @block
 simple = ';' / jump / whole / vars ';' / expr ';'
-loop = ('while' @args / 'for' @forhead) body / 'do' body 'while' @args ';'
+round = 'while' @args / 'for' @forhead / ID ':' !':'
+loop = ('while' @args / 'for' @forhead) round* (ifs / @block / simple) / 'do' (ifs / body) 'while' @args ';'
 stmt = @block / ifs / loop / ID ':' !':' stmt1 / simple / mods (class / face / enum / rec)
 stmt1 = ifs / loop / @block / simple
 mods = (ann / 'public' / 'private' / 'protected' / 'static' / 'final' / 'abstract' / 'native' / 'synchronized' / 'transient' / 'volatile' / 'strictfp' / 'default' / ID &('class' / 'interface' / 'abstract' / 'public' / 'static') / ID '-' ID &('class' / 'interface'))*
@@ -160,7 +161,7 @@ method = tps? ann* type ID @params @dim* throws? (@block / ('default' (ann / ini
 member = ';' / mods (class / face / enum / method / ctor / @block / rec / type var (',' var)* ';')
 const = ann* ID @args? @cbody?
 args = (arg (',' arg)* ','?)?
-arg = ann / @arrinit / expr / ID '=' (@arrinit / ann)
+arg = ID '=' (@arrinit / ann) / ann / @arrinit / expr
 cast = type ('&' type)*
 param = ('final' / ann)* type ann* '...'? (ID / 'this' / ID '.' 'this') @dim*
 params = (param (',' param)*)?
@@ -309,8 +310,8 @@ lam = 'async'? (id / gen? @params annot?) '=>'
 core = fun / class / id / NUM / STR / TPL / 'this' / 'super' / @args / @arr / @obj / 'import' (@args / '.' name) / 'new' '.' name
 un = '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' !('=>' / ',' / '.') / 'yield' '*'? &(ID / NUM / STR / TPL / 'this' / @args / @arr / @obj / 'new' / 'await') / 'new' !'.' {"/ ta3 &(ID / 'this' / @args)" if typed else ""}
 post = '.' name / '?.' (name / @args / @idx) / @args / @idx / TPL / '++' / '--' {"/ '!' !'=' / ta3 &(@args / TPL)" if typed else ""}
-pre = lam / un
-operand = pre* lam @block / pre* core post*
+pre = lam !@block / un
+operand = pre* (lam @block / core post*)
 shift = '<' '<' / '>' '>' '>' '=' / '>' '>' '=' / '>' '>' '>' / '>' '>' / '>' '>=' / '>' '>' '>='
 bin = shift / '+' / '-' / '*' / '/' / '%' / '**' / '&' / '|' / '^' / '<=' / '>=' / '<' / '>' / '==' / '!=' / '===' / '!==' / '&&' / '||' / '??' / 'in' / 'instanceof' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '&=' / '|=' / '^=' / '<<=' / '&&=' / '||=' / '??='
 tail = {"('as' / 'satisfies') ('const' / type) / " if typed else ""}bin operand
@@ -323,7 +324,8 @@ var = ('var' / 'let' / 'const') bind (',' bind)*
 head = 'if' @args / 'for' 'await'? @forhead / 'while' @args / id ':' / 'with' @args
 body = ASI? (head ASI?)* (@block / simple)
 ifs = 'if' @args body (ASI? 'else' 'if' @args body)* (ASI? 'else' body)?
-loop = ('for' 'await'? @forhead / 'while' @args / 'with' @args) body / 'do' body ASI? 'while' @args end?
+round = 'for' 'await'? @forhead / 'while' @args / 'with' @args / id ':'
+loop = ('for' 'await'? @forhead / 'while' @args / 'with' @args) ASI? (round ASI?)* (ifs / @block / simple) / 'do' ASI? (ifs / body) ASI? 'while' @args end?
 whole = 'try' @block (ASI? 'catch' @params? @block)? (ASI? 'finally' @block)? / 'switch' @args @sblock / 'do' @block ASI? 'while' @args end?
 jump = 'return' exprs? end / 'throw' exprs end / ('break' / 'continue') id? end / 'debugger' end
 simple = ';' / ASI / var end / jump / whole / exprs end
@@ -341,7 +343,7 @@ stmt = @block / ifs / loop / whole / import / export / decl / id ':' body / simp
 case = ('case' exprs / 'default') ':' / stmt
 prop = name / STR / NUM / @idx
 mod = ('static' / 'get' / 'set' / 'async' {"/ 'public' / 'private' / 'protected' / 'readonly' / 'abstract' / 'declare' / 'override'" if typed else ""}) &(prop / '*')
-member = ';' / ASI / 'static' @block / deco* mod* '*'? prop opt? (gen? @params annot? (@block {"/ end" if typed else ""}) / annot? ('=' expr)? end)
+member = ';' / ASI / 'static' @block / {"mod* @tkey annot end / " if typed else ""}deco* mod* '*'? prop opt? (gen? @params annot? (@block {"/ end" if typed else ""}) / annot? ('=' expr)? end)
 pair = '...' expr / mod* '*'? prop gen? @params annot? @block / prop ':' expr / id ('=' expr)?
 param = deco* {"('public' / 'private' / 'protected' / 'readonly' / 'override')*" if typed else ""} '...'? (id / 'this' / @obj / @arr) opt? annot? ('=' expr)?
 params = (param (',' param)* ','?)?
@@ -352,7 +354,7 @@ operand1 = (id / @obj / @arr) post*
 ttuple = (telem (',' telem)* ','?)?
 telem = '...'? (id '?'? ':')? type '?'?
 tidx = type?
-tmem = ('readonly' &(prop) / '+' / '-')* ('new'? gen? @params annot? / @tkey ('+' / '-')? '?'? annot / mod* prop '?'? (gen? @params annot? / annot)?)
+tmem = ('readonly' &(prop / @tkey) / '+' / '-')* ('new'? gen? @params annot? / @tkey ('+' / '-')? '?'? annot / mod* prop '?'? (gen? @params annot? / annot)?)
 titem = ';' / ',' / ASI / tmem &(';' / ',' / ASI / END)
 tobj = titem*
 tkey = id (':' type / 'in' type ('as' type)?)
