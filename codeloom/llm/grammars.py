@@ -496,7 +496,7 @@ _js = SCRIPT_LEXER.tokens
 _JS_END = re.compile(
     "(?<=" + _class(_js, f"ID NUM STR TPL ) ] }} this super ++ -- return break continue debugger {_SOFT}") + ")" + _js["NL"]
     + "(?=" + _class(_js, "ID NUM STR ! ~ ++ -- @ " + " ".join(
-        w for w in f"{_SOFT} {_HARD}".split() if w not in ("in instanceof of as else catch finally extends implements from satisfies is".split()))) + ")"
+        w for w in f"{_SOFT} {_HARD}".split() if w not in ("in instanceof of as catch finally extends implements from satisfies is".split()))) + ")"
 )
 
 
