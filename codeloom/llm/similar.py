@@ -68,12 +68,16 @@ def draw_pivots(valid: DataFrame, dim: int, shard: int = SHARD, max_pivots: int
     """Unit vectors of a hash-drawn sample, one for about ``shard`` rows, at most ``max_pivots`` (under 40 MB)."""
     rows = valid.count()
     wanted = min(max_pivots, max(1, math.ceil(rows / shard)))
-    drawn = valid.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000_000)) < F.lit(int(1e9 * min(1.0, 1.2 * wanted / max(1, rows)) + 1)))
-    sample = drawn.limit(2 * wanted + 100).toArrow()
+    chance = min(1.0, (1.2 * wanted + 30) / max(1, rows))
+    drawn = valid.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000_000)) < F.lit(int(1e9 * chance) + 1))
+    sample = drawn.limit(2 * wanted + 200).toArrow()
+    if rows and not sample.num_rows:
+        sample = valid.limit(1).toArrow()
     _, values = _matrix(sample.column("vector"), dim)
     if not len(values):
         return np.empty((0, dim), np.float32)
-    return np.unique(_unit(values), axis=0)[:max_pivots]
+    distinct = np.unique(_unit(values), axis=0)
+    return np.random.default_rng(11).permutation(distinct)[:wanted]
 
 
 def _nearest_pivots(units: np.ndarray, pivots: np.ndarray, copies: int) -> np.ndarray:
