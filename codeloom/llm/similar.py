@@ -138,8 +138,8 @@ def _graph_pairs(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     if n <= MAX_GRAPH:
-        links, _, met = vamana.build(units)
-        return vamana.refine(units, links, met)
+        links, _, met, sims = vamana.build(units)
+        return vamana.refine(sims, links, met)
     pivots = units[np.random.default_rng(7).choice(n, -(-n * 2 // MAX_GRAPH) + 1, replace=False)]
     near = _nearest_pivots(units, pivots, 2)
     found = []
@@ -236,7 +236,7 @@ _INDEX = "shard int, node int, ids array<string>, vector binary, links binary, e
 def _index_shard(dim: int):
     def run(table: pa.Table) -> pa.Table:
         ids, values = _nodes(table, dim)
-        links, seeds, _ = vamana.build(_unit(values)) if len(values) else (np.empty((0, vamana.DEGREE), np.int32), np.empty(0, int), None)
+        links, seeds, *_ = vamana.build(_unit(values)) if len(values) else (np.empty((0, vamana.DEGREE), np.int32), np.empty(0, int))
         entry = np.zeros(len(ids), bool)
         entry[seeds] = True
         return pa.table({

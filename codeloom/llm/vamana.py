@@ -86,8 +86,8 @@ def _prune(table: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree:
     return out
 
 
-def build(vectors: np.ndarray, degree: int = DEGREE, width: int = WIDTH, alpha: float = ALPHA, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(links, seeds, met): neighbours of every vector, entry nodes, and what its insertion search met (-1: none)."""
+def build(vectors: np.ndarray, degree: int = DEGREE, width: int = WIDTH, alpha: float = ALPHA, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(links, seeds, met, table): neighbours of every vector, entry nodes, what its insertion search met (-1: none), all similarities."""
     n = len(vectors)
     table = vectors @ vectors.T
     links = np.full((n, degree), -1, np.int32)
@@ -108,7 +108,7 @@ def build(vectors: np.ndarray, degree: int = DEGREE, width: int = WIDTH, alpha:
         links[batch] = _prune(table, batch, ids, degree, alpha)
         _add_reverse(table, links, batch, degree, alpha)
         done += len(batch)
-    return links, seeds, met
+    return links, seeds, met, table
 
 
 def _add_reverse(table: np.ndarray, links: np.ndarray, batch: np.ndarray, degree: int, alpha: float) -> None:
@@ -131,13 +131,12 @@ def _add_reverse(table: np.ndarray, links: np.ndarray, batch: np.ndarray, degree
         links[heads[~full]] = np.take_along_axis(part, np.argsort(part < 0, axis=1, kind="stable"), 1)[:, :degree]
 
 
-def refine(vectors: np.ndarray, links: np.ndarray, met: np.ndarray, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def refine(table: np.ndarray, links: np.ndarray, met: np.ndarray, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b) of nodes that met: insertion beams, links, and a last beam search from every node's own links.
 
     The last search finds what the insertion could not: vectors of the same batch.
     """
     n = len(links)
-    table = vectors @ vectors.T
     own = np.arange(n, dtype=np.int32)[:, None]
     starts = np.concatenate([links, met[:, :4]], 1)[:, : max(1, width)]
     again = (starts[:, :, None] == starts[:, None, :]) & (np.arange(starts.shape[1])[:, None] > np.arange(starts.shape[1])[None, :])[None]

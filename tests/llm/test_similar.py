@@ -70,9 +70,9 @@ def test_search_recall(spark):
 def test_graph_of_any_size(n):
     units = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
     units /= np.linalg.norm(units, axis=1)[:, None]
-    links, seeds, met = vamana.build(units)
+    links, seeds, met, table = vamana.build(units)
     assert links.shape == (n, vamana.DEGREE) and links.max() < n and (links != np.arange(n)[:, None]).all()
-    a, b = vamana.refine(units, links, met)
+    a, b = vamana.refine(table, links, met)
     assert (a < b).all() and len(seeds) == min(n, vamana.SEEDS)
 
 
