@@ -47,7 +47,7 @@ def fts_score(content: Column, toks: Column, query: str, mode: str) -> Column:
             hit = F.exists(toks, _starts(term))
         else:
             hit = F.contains(low, F.lit(term))
-        score = score + F.when(hit & (size > 0), T.occurrences(low, term) / size).otherwise(F.lit(0.0))
+        score = score + F.when((size > 0) & hit, T.occurrences(low, term) / size).otherwise(F.lit(0.0))
     return score
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, graph, imports, store, tags, testlinks
+from ..session import busy_partitions
 from ..sources import declarations as decl
 from ..sources import external, files
 from ..tables import current_rows, table
@@ -222,7 +223,7 @@ def nearest_class(spark, d):
 
 
 def source_declarations(spark, d):
-    texts = table(spark, d, "file_text").join(_files(spark, d).select(F.col("id").alias("file_id"), files.language(F.col("absolute_path")).alias("language")), "file_id")
+    texts = table(spark, d, "file_text").repartition(busy_partitions(spark), "file_id").join(_files(spark, d).select(F.col("id").alias("file_id"), files.language(F.col("absolute_path")).alias("language")), "file_id")
     return decl.declarations(texts)
 
 

@@ -45,6 +45,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def busy_partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle in front of CPU-bound work, which adaptive coalescing by bytes would put into few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in front of CPU-bound work: rows are spread only where the files give fewer tasks than there are cores."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers when it is not on their path already.
 
