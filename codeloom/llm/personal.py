@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # ------------------------------------------------------------------ detection
 
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?"
@@ -332,7 +334,7 @@ def personal_cases(documents: DataFrame, names: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "value"])
 
     texts = documents.where("text is not null and text != ''").select("doc_id", "text")
-    return texts.mapInPandas(run, "doc_id long, kind string, value string")
+    return spread(texts).mapInPandas(run, "doc_id long, kind string, value string")
 
 
 def redact_documents(documents: DataFrame, names: DataFrame, key: str = "codeloom", mode: str = "placeholder") -> DataFrame:
@@ -349,4 +351,4 @@ def redact_documents(documents: DataFrame, names: DataFrame, key: str = "codeloo
                 counts.append(len(cases))
             yield pd.DataFrame({"doc_id": b.doc_id, "text": texts, "cases": counts})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, cases int")
+    return spread(documents.select("doc_id", "text")).mapInPandas(run, "doc_id long, text string, cases int")

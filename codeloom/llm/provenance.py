@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import busy_partitions, checkpoint
 from .syntax import file_paths
 
 #: Most labelled rows of each class the forest is fitted on (a hash-ordered sample); all rows are judged.
@@ -123,6 +123,7 @@ def measured_files(files: DataFrame, texts: DataFrame) -> DataFrame:
     """file_id, path, the notices and the content measures of every file with text."""
     sources = texts.where("content is not null and file_id is not null").select("file_id", "content")
     paths = file_paths(files).select(F.col("id").alias("file_id"), "absolute_path")
+    sources = sources.repartition(busy_partitions(texts.sparkSession), "file_id")
     return sources.where(~F.col("content").rlike(r"^\s*$")).join(paths, "file_id", "left").select(
         "file_id", "absolute_path", "content"
     ).mapInPandas(_measure_batches, _SCHEMA)

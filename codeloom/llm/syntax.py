@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import busy_partitions
 from ..tables import current_rows
 from .grammars import BY_EXTENSION, PYTHON, PYTHON_LEXER, separators
 from .lex import INDENT_BASE
@@ -214,6 +215,7 @@ def check_syntax(files: DataFrame, texts: DataFrame) -> DataFrame:
     """Per file with non-null content: file_id, repository, language, parsed, line, column, cause."""
     paths = file_paths(files)
     sources = texts.select("file_id", "content").where("content is not null and file_id is not null")
+    sources = sources.repartition(busy_partitions(texts.sparkSession), "file_id")
     joined = sources.join(paths, sources.file_id == paths.id).select("file_id", "extension", "repository", "content")
     out = joined.select("file_id", "extension", "content").mapInPandas(_check_batches, _RESULT)
     return out

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Place of the vocabulary (token in base 64, rank); a parameter of every operator here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of the vocabulary.
@@ -180,7 +182,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
             yield pd.DataFrame({"k": b["k"], "ids": [encode(t) for t in b["t"]]})
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, ids array<int>")
+    out = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInPandas(run, f"k {kind}, ids array<int>")
     return out.withColumnRenamed("k", key)
 
 
@@ -196,7 +198,7 @@ def count_tokens(df: DataFrame, text: str = "text", out: str = "tokens", vocabul
             yield b.drop(columns=[text]).assign(**{out: counts})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", `{out}` long"
-    return df.select(*[f.name for f in rest], text).mapInPandas(run, schema)
+    return spread(df.select(*[f.name for f in rest], text)).mapInPandas(run, schema)
 
 
 def decode_ids(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
