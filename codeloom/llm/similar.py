@@ -5,6 +5,10 @@ its density; every vector goes to the shards of its nearest pivots. Each shard b
 directed graph, whose greedy searches propose neighbours; candidates are checked exactly and the
 best of all shards are kept. Outside queries are beam-searched in each shard of an index.
 
+A vector with many pivots near it lies in a dense cloud, where its neighbours are spread over
+many shards. It is a probe in further shards, as many as grow with the root of the number of
+near pivots, and is compared with all vectors stored there, in both directions.
+
 Exact copies are one node with its six smallest ids (no more can be among the five best of
 anything), further copies are linked to the smallest ids of their group; so no group, however
 large, meets in one task.
@@ -30,6 +34,8 @@ from . import vamana
 
 #: Vectors of a shard that a pivot stands for, shards that hold each vector, pivots at most.
 SHARD, COPIES, MAX_PIVOTS = 330, 3, 100_000
+#: Shards searched for each vector, times the root of the number of pivots near it.
+PROBES = 2.0
 #: Vectors in one graph; a larger shard is cut again inside its task.
 MAX_GRAPH = 4000
 #: Ids kept per group of exact copies: one more than the neighbours wanted.
@@ -81,16 +87,51 @@ def draw_pivots(valid: DataFrame, dim: int, shard: int = SHARD, max_pivots: int
 
 
 def _nearest_pivots(units: np.ndarray, pivots: np.ndarray, copies: int) -> np.ndarray:
-    near = units @ pivots.T
-    copies = min(copies, len(pivots))
-    return np.argpartition(-near, copies - 1, axis=1)[:, :copies] if copies < len(pivots) else np.argsort(-near, axis=1)
-
-
-_ROUTED = "shard int, ids array<string>, vector binary"
-
-
-def route(valid: DataFrame, pivots: np.ndarray, dim: int, copies: int) -> DataFrame:
-    """shard, ids (the smallest of the exact copies in a batch), vector (float32 bytes)."""
+    return _nearest(units @ pivots.T, copies)
+
+
+def _nearest(near: np.ndarray, copies: int) -> np.ndarray:
+    pivots = near.shape[1]
+    copies = min(copies, pivots)
+    return np.argpartition(-near, copies - 1, axis=1)[:, :copies] if copies < pivots else np.argsort(-near, axis=1)
+
+
+def _near_floor(least: float | None) -> float:
+    """Similarity of a pivot that may be wanted by a vector that is itself wanted: twice the angle."""
+    return -2.0 if least is None else 2 * least * least - 1 if least > 0 else -2.0
+
+
+def _shards(units: np.ndarray, pivots: np.ndarray, copies: int, floor: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row numbers, shards, whether the row is only a probe there); without ``floor`` no probes."""
+    rows, shards, probe = [], [], []
+    step = max(1, 4_000_000 // max(1, len(pivots)))
+    for at in range(0, len(units), step):
+        near = units[at : at + step] @ pivots.T
+        own = _nearest(near, copies)
+        rows.append(np.repeat(np.arange(at, at + len(near)), own.shape[1]))
+        shards.append(own.ravel())
+        probe.append(np.zeros(own.size, bool))
+        if floor is None:
+            continue
+        wanted = np.minimum(np.ceil(PROBES * np.sqrt((near >= floor).sum(1))).astype(int), len(pivots))
+        np.put_along_axis(near, own, 3.0, 1)  # the own shards come first
+        for count in np.unique(wanted[wanted > copies]):
+            some = np.nonzero(wanted == count)[0]
+            more = np.argpartition(-near[some], count - 1, axis=1)[:, :count]
+            fresh = near[some[:, None], more] < 2.0
+            rows.append(at + np.repeat(some, fresh.sum(1)))
+            shards.append(more[fresh])
+            probe.append(np.ones(int(fresh.sum()), bool))
+    return np.concatenate(rows), np.concatenate(shards), np.concatenate(probe)
+
+
+_ROUTED = "shard int, ids array<string>, vector binary, probe boolean"
+#: Routed rows in one batch, as a vector of a dense cloud has many.
+ROUTED_ROWS = 20_000
+
+
+def route(valid: DataFrame, pivots: np.ndarray, dim: int, copies: int, floor: float | None = None) -> DataFrame:
+    """shard, ids (the smallest of the exact copies in a batch), vector (float32 bytes), probe (not stored, only compared)."""
     shared = valid.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,17 +148,20 @@ def route(valid: DataFrame, pivots: np.ndarray, dim: int, copies: int) -> DataFr
                 else:
                     groups[raw] = [id_]
                     first.append(i)
-            shards = _nearest_pivots(_unit(values[first]), shared.value, copies)
+            rows, shards, probe = _shards(_unit(values[first]), shared.value, copies, floor)
             smallest = [sorted(set(g))[:KEPT_IDS] for g in groups.values()]
-            each = shards.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(shards.ravel().astype(np.int32)),
-                    pa.array([g for g in smallest for _ in range(each)], pa.list_(pa.string())),
-                    pa.array([r for r in groups for _ in range(each)], pa.binary()),
-                ],
-                names=["shard", "ids", "vector"],
-            )
+            raws = list(groups)
+            for at in range(0, len(rows), ROUTED_ROWS):
+                part = rows[at : at + ROUTED_ROWS].tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shards[at : at + ROUTED_ROWS].astype(np.int32)),
+                        pa.array([smallest[r] for r in part], pa.list_(pa.string())),
+                        pa.array([raws[r] for r in part], pa.binary()),
+                        pa.array(probe[at : at + ROUTED_ROWS]),
+                    ],
+                    names=["shard", "ids", "vector", "probe"],
+                )
 
     return valid.mapInArrow(run, _ROUTED)
 
@@ -156,12 +200,39 @@ def _graph_pairs(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _LINKS = "id string, other string, similarity double"
 
 
+def _probe_pairs(probes: np.ndarray, units: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (probe, node): the best nodes of every probe and the best probes of every node."""
+    if not len(probes) or not len(units):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = [], []
+    step = max(1, 4_000_000 // len(units))
+    for at in range(0, len(probes), step):
+        table = probes[at : at + step] @ units.T
+        for side, near in enumerate((table, table.T)):
+            best = _nearest(near, k)
+            row = np.repeat(np.arange(len(near)), best.shape[1])
+            best = best.ravel()
+            if least is not None:
+                close = near[row, best] >= least - 1e-4
+                row, best = row[close], best[close]
+            a.append(at + (best if side else row))
+            b.append(row if side else best)
+    code = np.unique(np.concatenate(a).astype(np.int64) * len(units) + np.concatenate(b))
+    return code // len(units), code % len(units)
+
+
 def _shard_links(k: int, least: float | None, dim: int):
     def run(table: pa.Table) -> pa.Table:
-        ids, values = _nodes(table, dim)
-        wide = values.astype(np.float64)
+        probe = table.column("probe")
+        ids, values = _nodes(table.filter(pa.compute.invert(probe)), dim)
+        extra_ids, extra = _nodes(table.filter(probe), dim)
+        stored = len(ids)
+        ids, wide = ids + extra_ids, np.concatenate([values, extra]).astype(np.float64)
         wide /= np.linalg.norm(wide, axis=1)[:, None] if len(wide) else 1.0
-        a, b = _graph_pairs(wide.astype(np.float32))
+        units = wide.astype(np.float32)
+        a, b = _graph_pairs(units[:stored])
+        more, node = _probe_pairs(units[stored:], units[:stored], k + KEPT_IDS, least)
+        a, b = np.concatenate([a, node]), np.concatenate([b, stored + more])
         exact = np.einsum("ij,ij->i", wide[a], wide[b])
         if least is not None:
             a, b, exact = a[exact >= least], b[exact >= least], exact[exact >= least]
@@ -173,6 +244,8 @@ def _shard_links(k: int, least: float | None, dim: int):
         for node in range(len(ids)):
             own = ids[node]
             near = [(1.0, o) for o in own]
+            if node >= stored and ends[node] == ends[node + 1]:
+                continue  # a probe's own copies are linked elsewhere
             for t in range(ends[node], ends[node + 1]):
                 if len(near) > k + len(own) and sims[t] < near[k + len(own) - 1][0]:
                     break
@@ -216,7 +289,7 @@ def similar_vectors(
     """id, other, similarity: the k most similar other ids of every valid id (above ``least``)."""
     valid = valid_vectors(vectors, dim)
     pivots = draw_pivots(valid, dim, shard)
-    links = route(valid, pivots, dim, copies).groupBy("shard").applyInArrow(_shard_links(k, least, dim), _LINKS)
+    links = route(valid, pivots, dim, copies, _near_floor(least)).groupBy("shard").applyInArrow(_shard_links(k, least, dim), _LINKS)
     all_links = links.unionByName(copy_links(valid, k)).groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     best = W.partitionBy("id").orderBy(F.desc("similarity"), "other")  # few rows per id: k per shard and copy list
     return all_links.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")

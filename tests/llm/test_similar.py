@@ -84,3 +84,21 @@ def test_large_shard_is_cut(monkeypatch):
     met = set(zip(a.tolist(), b.tolist()))
     wanted = [(i, j) for i in range(200) for j in range(i + 1, 200) if units[i] @ units[j] > 0.9]
     assert sum(p in met for p in wanted) >= 0.95 * len(wanted)
+
+
+def dense_cloud(n, rest, dim=96, cosine=0.95, seed=4):
+    """n distinct vectors of that cosine to each other, and ``rest`` lone ones."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=dim)
+    points = np.sqrt(cosine) * centre / np.linalg.norm(centre) + np.sqrt((1 - cosine) / dim) * rng.normal(size=(n, dim))
+    return np.concatenate([points, rng.normal(size=(rest, dim))]).astype(np.float32)
+
+
+def test_dense_cloud_of_a_third_of_the_rows(spark):
+    vectors = dense_cloud(2000, 4000)
+    got = {tuple(r) for r in similar.similar_vectors(frame(spark, vectors), 5, 0.92, shard=40).select("id", "other").collect()}
+    unit = similar._unit(vectors[:2000])
+    table = unit @ unit.T
+    np.fill_diagonal(table, -2)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(table) for j in np.argsort(-row)[:5]}
+    assert len(got & want) >= 0.97 * len(want)
