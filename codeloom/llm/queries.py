@@ -13,6 +13,12 @@ def p3_found(spark, sf_dir):
     return similar.similar_pairs(table(spark, sf_dir, "search_vector"))
 
 
+def p3_neighbours(spark, sf_dir):
+    """The five most similar other ids of every valid id, however far they are."""
+    found = similar.similar_vectors(table(spark, sf_dir, "search_vector"))
+    return found.select("id", "other", F.round("similarity", 6).alias("similarity"))
+
+
 def p3_search(spark, sf_dir):
     """Every id divisible by 50 as a query against all rows."""
     vectors = table(spark, sf_dir, "search_vector")
@@ -98,7 +104,7 @@ def p10_surrogates(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_search, p4_found, p4_scores, p5_found, p5_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions,
+        p3_found, p3_neighbours, p3_search, p4_found, p4_scores, p5_found, p5_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions,
         p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_surrogates,
     )
 }

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from codeloom.llm import similar, vamana
+from codeloom.llm import queries, similar, vamana
 
 SCHEMA = "id string, vector array<float>, similarity int"
 
@@ -102,3 +102,15 @@ def test_dense_cloud_of_a_third_of_the_rows(spark):
     np.fill_diagonal(table, -2)
     want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(table) for j in np.argsort(-row)[:5]}
     assert len(got & want) >= 0.97 * len(want)
+
+
+def test_all_neighbours_of_lone_vectors(spark, tmp_path):
+    vectors = np.random.default_rng(8).normal(size=(3000, 96)).astype(np.float32)
+    frame(spark, vectors).select("id", "vector").write.parquet(str(tmp_path / "search_vector.parquet"))
+    assert queries.QUERIES["p3_neighbours"](spark, str(tmp_path)).count() == 5 * 3000
+    got = {tuple(r) for r in similar.similar_vectors(frame(spark, vectors), 5, shard=40).select("id", "other").collect()}
+    unit = similar._unit(vectors)
+    table = unit @ unit.T
+    np.fill_diagonal(table, -2)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(table) for j in np.argsort(-row)[:5]}
+    assert len(got & want) >= 0.95 * len(want)
