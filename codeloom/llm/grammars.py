@@ -1,8 +1,8 @@
 """Token tables and parsing-expression grammars of Go, Java, Python, TypeScript, JavaScript and Rust.
 
 They cover the languages as written in practice; what needs types or scopes (duplicate names,
-return outside a function, assignment to a call) is not syntax here. Nested generics are
-unrolled to four levels, Rust macro bodies are any balanced tokens.
+return outside a function, assignment to a call) is not syntax here. Generics nest to any depth,
+Rust macro bodies are any balanced tokens.
 """
 
 from __future__ import annotations
@@ -102,30 +102,23 @@ JAVA_LEXER = Lexer(
     "+ - * / % & | ^ ~ ! < > <= >= == != && || ++ -- = += -= *= /= %= &= |= ^= <<= >>= ? : :: -> . , ; ... @",
     letters="$",
 )
-
-
-def _nested(levels: int, template: str) -> str:
-    """Unroll a rule that nests in itself: {k} is the level, {below} the optional use of the one below."""
-    return "".join(template.format(k=k, below=f"ta{k - 1}?" if k else "") for k in range(levels))
-
-
 _JAVA = r"""
 qname = ID ('.' ID)*
 ann = '@' qname @args?
-""" + _nested(4, """tn{k} = ann* ID {below} ('.' ID {below})* (ann* @dim)*
-tw{k} = ann* '?' (('extends' / 'super') tn{k})? / tn{k}
-ta{k} = '<' (tw{k} (',' tw{k})*)? '>'
-""") + r"""type = ann* ID ta3? ('.' ann* ID ta3?)* (ann* @dim)*
+tn = ann* ID ta? ('.' ID ta?)* (ann* @dim)*
+tw = ann* '?' (('extends' / 'super') tn)? / tn
+ta = '<' (tw (',' tw)*)? '>'
+type = ann* ID ta? ('.' ann* ID ta?)* (ann* @dim)*
 types = type (',' type)*
 tp1 = ann* ID ('extends' type ('&' type)*)?
 tps = '<' tp1 (',' tp1)* '>'
 lam = (ID / @lparams) '->'
 un = '+' / '-' / '!' / '~' / '++' / '--'
 pre = lam !@block / un / @cast &(ID / NUM / STR / @args / '!' / '~' / 'new' / 'this' / 'super' / 'switch' / @cast / @lparams)
-made = ann* ID ta3? ('.' ID ta3?)*
+made = ann* ID ta? ('.' ID ta?)*
 new = 'new' made ((@idx / @dim)+ @arrinit? / @args @cbody?)
-core = NUM / STR / new / ID ta3 (@dim)* &'::' / ID / 'this' / 'super' / @args / 'switch' @args @sblock
-post = '.' (ID / 'this' / 'super' / 'class' / new / ta3 ID) / @args / @idx / @dim / '++' / '--' / '::' ta3? (ID / 'new')
+core = NUM / STR / new / ID ta (@dim)* &'::' / ID / 'this' / 'super' / @args / 'switch' @args @sblock
+post = '.' (ID / 'this' / 'super' / 'class' / new / ta ID) / @args / @idx / @dim / '++' / '--' / '::' ta? (ID / 'new')
 operand = pre* (lam @block / core post*)
 shift = '<' '<' / '>' '>' '>' '=' / '>' '>' '=' / '>' '>' '>' / '>' '>' / '>' '>='
 bin = shift / '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '<=' / '>=' / '<' / '>' / '==' / '!=' / '&&' / '||' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<='
@@ -282,15 +275,15 @@ _quoted = " / ".join
 
 def _script(typed: bool) -> str:
     never = "!ID ID"
-    types = _nested(4, """tv{k} = ID / soft / STR / TPL / 'void' / 'this' / '-'? NUM / @ttuple / @tobj / @tparen / 'import' @args
-tb{k} = tv{k} ('.' name)* {below} (@tidx / '.' name {below})*
-tu{k} = ('|' / '&')? tpre* tb{k} (('|' / '&') tpre* tb{k})*
-ty{k} = tu{k} ('is' tu{k})? ('extends' tu{k} '?' tu{k} ':' tu{k})*
-ta{k} = '<' ty{k} (',' ty{k})* ','? '>'
-""") + """type = ty3
+    types = """tv = ID / soft / STR / TPL / 'void' / 'this' / '-'? NUM / @ttuple / @tobj / @tparen / 'import' @args
+tb = tv ('.' name)* ta? (@tidx / '.' name ta?)*
+tu = ('|' / '&')? tpre* tb (('|' / '&') tpre* tb)*
+ty = tu ('is' tu)? ('extends' tu '?' tu ':' tu)*
+ta = '<' ty (',' ty)* ','? '>'
+type = ty
 tpre = 'keyof' / 'readonly' / 'unique' / 'infer' / 'typeof' / 'asserts' / 'abstract'? 'new'? tgen? @params '=>'
-tgen = '<' id ('extends' tv0)? (',' id ('extends' tv0)?)* '>'
-tpd1 = 'const'? 'in'? id ('extends' tu3)? ('=' tu3)?
+tgen = '<' id ('extends' tv)? (',' id ('extends' tv)?)* '>'
+tpd1 = 'const'? 'in'? id ('extends' tu)? ('=' tu)?
 tpd = '<' tpd1 (',' tpd1)* ','? '>'
 """
     return rf"""
@@ -301,15 +294,15 @@ name = ID / soft / hard
 {types if typed else ""}annot = {"':' type" if typed else never}
 opt = {"'?' / '!'" if typed else never}
 gen = {"tpd" if typed else never}
-targs = {"ta3" if typed else never}
+targs = {"ta" if typed else never}
 end = ';' / ASI / END
 fun = 'async'? 'function' '*'? id? gen? @params annot? @block
 deco = '@' id ('.' name)* @args? ASI?
 class = deco* {"'abstract'?" if typed else ""} 'class' (!'extends' !'implements' id)? gen? ('extends' (id ('.' name)* targs? @args? / @args))? {"('implements' type (',' type)*)?" if typed else ""} @cbody
 lam = 'async'? (id / gen? @params annot?) '=>'
 core = fun / class / id / NUM / STR / TPL / 'this' / 'super' / @args / @arr / @obj / 'import' (@args / '.' name) / 'new' '.' name
-un = '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' !('=>' / ',' / '.') / 'yield' '*'? &(ID / NUM / STR / TPL / 'this' / @args / @arr / @obj / 'new' / 'await') / 'new' !'.' {"/ ta3 &(ID / 'this' / @args)" if typed else ""}
-post = '.' name / '?.' (name / @args / @idx) / @args / @idx / TPL / '++' / '--' {"/ '!' !'=' / ta3 &(@args / TPL)" if typed else ""}
+un = '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' !('=>' / ',' / '.') / 'yield' '*'? &(ID / NUM / STR / TPL / 'this' / @args / @arr / @obj / 'new' / 'await') / 'new' !'.' {"/ ta &(ID / 'this' / @args)" if typed else ""}
+post = '.' name / '?.' (name / @args / @idx) / @args / @idx / TPL / '++' / '--' {"/ '!' !'=' / ta &(@args / TPL)" if typed else ""}
 pre = lam !@block / un
 operand = pre* (lam @block / core post*)
 shift = '<' '<' / '>' '>' '>' '=' / '>' '>' '=' / '>' '>' '>' / '>' '>' / '>' '>=' / '>' '>' '>='
@@ -392,16 +385,16 @@ RUST_LEXER = Lexer(
 )
 _RUST = r"""
 seg = ID / 'self' / 'Self' / 'super' / 'crate'
-""" + _nested(4, """tp{k} = '::'? seg ('::' seg)* {below} ('::' seg {below})*
-tv{k} = tp{k} (@types '->' / @types)? / @types / @tarr / '!'
-tpre{k} = '&&'? '&' LIFE? 'mut'? / '&&' LIFE? 'mut'? / '*' ('const' / 'mut') / 'dyn' / 'impl' / 'for' '<' LIFE (',' LIFE)* '>' / '?' / ('unsafe' / 'extern' STR?)* 'fn' @types '->' / tp{k} @types '->'
-tb{k} = tpre{k}* (('unsafe' / 'extern' STR?)* 'fn' @types / tp{k} @types? / @types / @tarr / '!' / '<' tp{k} ('as' tp{k})? '>' ('::' seg)+)
-ty{k} = (LIFE / tb{k}) ('+' (LIFE / tb{k}))*
-ta{k} = '::'? '<' (ga{k} (',' ga{k})* ','?)? '>'
-ga{k} = ID '=' ty{k} / ID ':' ty{k} / ty{k} / '-'? NUM / STR / @block
-""") + r"""type = ty3
+tp = '::'? seg ('::' seg)* ta? ('::' seg ta?)*
+tv = tp (@types '->' / @types)? / @types / @tarr / '!'
+tpre = '&&'? '&' LIFE? 'mut'? / '&&' LIFE? 'mut'? / '*' ('const' / 'mut') / 'dyn' / 'impl' / 'for' '<' LIFE (',' LIFE)* '>' / '?' / ('unsafe' / 'extern' STR?)* 'fn' @types '->' / tp @types '->'
+tb = tpre* (('unsafe' / 'extern' STR?)* 'fn' @types / tp @types? / @types / @tarr / '!' / '<' tp ('as' tp)? '>' ('::' seg)+)
+ty = (LIFE / tb) ('+' (LIFE / tb))*
+ta = '::'? '<' (ga (',' ga)* ','?)? '>'
+ga = ID '=' ty / ID ':' ty / ty / '-'? NUM / STR / @block
+type = ty
 bounds = (LIFE / '?'? type) ('+' (LIFE / '?'? type))* '+'?
-path = ('<' type ('as' type)? '>' '::' / '::')? seg ('::' (seg / ta3))*
+path = ('<' type ('as' type)? '>' '::' / '::')? seg ('::' (seg / ta))*
 mac = path '!' ID? (@mac)
 pat0 = '&' 'mut'? / '&&' / 'ref' 'mut'? / 'mut' / ID '@'
 lit = '-'? NUM / STR
@@ -414,7 +407,7 @@ jump = 'return' / 'break' LIFE? / 'continue' LIFE?
 start = NUM / STR / seg / @args / @arr / @block / 'if' / 'match' / '&' / '*' / '!' / '-' / '|' / '||' / 'move' / 'unsafe' / 'loop' / '::' / 'async'
 pre = lam / un / jump &start
 core0 = NUM / STR / mac / path / @args / @arr / jump / '..'
-post = '.' (ID ('::' ta3)? / NUM / 'await') / '?' / @args / @idx
+post = '.' (ID ('::' ta)? / NUM / 'await') / '?' / @args / @idx
 bin = '>' '>' '=' / '>' '>=' / '>' '>' / '+' / '-' / '*' / '/' / '%' / '^' / '&' / '|' / '&&' / '||' / '<<' / '+=' / '-=' / '*=' / '/=' / '%=' / '^=' / '&=' / '|=' / '<<=' / '=' / '==' / '!=' / '>' / '<' / '>=' / '<='
 op0 = pre* core0 post*
 tail0 = 'as' type / ('..=' / '..') op0? / bin op0

@@ -2,7 +2,7 @@
 
 A source text becomes a string of one character per token. Bracketed groups are parsed from
 the inside out; a parsed group is replaced by one character that says which roles (block,
-arguments, type list, ...) its content satisfies, so no rule needs recursion. Each level is parsed by a packrat parser (memo by node
+arguments, type list, ...) its content satisfies, so only type arguments need recursion. Each level is parsed by a packrat parser (memo by node
 and position); above it stands a second memo by content, for groups and for the items of a
 sequence, which all files of a worker share: equal shapes are parsed once.
 
@@ -16,7 +16,10 @@ role, ``name`` a rule.
 from __future__ import annotations
 
 import re
+import sys
 
+#: Calls that one level of type arguments takes at most.
+DEEP = 100
 #: Long runs of one list item, as in data tables, count as three.
 _RUNS = re.compile(r"(.{1,8}?,)\1{3,}", re.S)
 _LEX = re.compile(r"\s*(?:'((?:[^'\\]|\\.)+)'|(@\w+)|([A-Za-z_]\w*)|([()/*+?!&|]))")
@@ -128,6 +131,9 @@ class Grammar:
         memo: dict[tuple, int] = {}
         far, high, size, first = 0, 0, len(text), self._first
         tokens, roles, rules = self.tokens, self.role_chars, self.rules
+        depth = 1000 + DEEP * text.count(tokens.get("<", "\0"))
+        if depth > sys.getrecursionlimit():
+            sys.setrecursionlimit(depth)
 
         def run(node: tuple, at: int) -> int:
             nonlocal far, high

@@ -85,3 +85,13 @@ def test_operator(spark, rows):
     assert rows(syntax.invalid_files(files, texts), "file_id") == [(1,)]
     assert rows(syntax.syntax_rates(files, texts), "repository", "language", "files", "invalid") == [("a", "go", 1, 0), ("a", "python", 1, 1), ("b", "python", 1, 0), ("b", "rust", 1, 0)]
     assert syntax.check_syntax(files.limit(0), texts.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("ext", "form"), [
+    ("rs", "fn f(x: {}) {{}}\n"), ("rs", "type X = {};\n"), ("ts", "let x: {};\n"), ("ts", "type X = {}\n"), ("java", "class A {{ {} x = new A<>(); }}\n"),
+])
+@pytest.mark.parametrize("levels", [4, 5, 12, 60])
+def test_generics_of_any_depth(ext, form, levels):
+    assert syntax.parses(form.format("A<" * levels + "B" + ">" * levels), ext)
+    assert syntax.parses(form.format("A<" * levels + "B" + ">" * (levels + 1)), ext) is False
+    assert syntax.parses(form.format("A<" * levels + "B" + ">" * (levels - 1)), ext) is False
