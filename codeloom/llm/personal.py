@@ -3,9 +3,11 @@
 Detection goes by form and context: e-mail addresses in any spelling, phone numbers of known
 plans after a cue or with an international prefix, identity numbers after their label, street
 addresses by street words, names after or before a cue or as known given and family names.
-Replacement is keyed: equal values get equal replacements wherever they stand, different values
-of a text get different ones (a collision draws again), and a surrogate keeps type, format,
-script, letter case and, for names, the gender of the pool it comes from.
+Replacement is keyed: equal values get equal replacements wherever they stand in the corpus, as
+nothing depends on the other values of a text. Different values get different ones: numbers go
+through a keyed permutation, words are invented from so many syllables that two never agree in
+practice. A surrogate keeps type, format, script, letter case and, for names, the gender of the
+pool it comes from; e-mail addresses keep their domain.
 
 Defined cases: null and empty texts have no cases and stay as they are; a value that occurs more
 than once in a text is one row; overlapping finds keep the earlier, then longer one, names inside
@@ -225,87 +227,179 @@ def normal_form(kind: str, value: str) -> str:
     return re.sub(r"\s+", " ", value).lower()
 
 
-def placeholder(kind: str, value: str, key: bytes, draw: int = 0) -> str:
+def placeholder(kind: str, value: str, key: bytes) -> str:
     """Typed placeholder with a keyed tag, equal for equal values."""
-    tag = _digest(key, "tag", kind, normal_form(kind, value), str(draw)) % 36**5
-    letters = ""
-    for _ in range(5):
+    return f"[{kind.upper()}_{_tag(key, 'tag', kind, normal_form(kind, value))}]"
+
+
+def _tag(key: bytes, *parts: str) -> str:
+    """Twelve letters and digits, 62 bits."""
+    tag, letters = _digest(key, *parts), ""
+    for _ in range(12):
         tag, rest = divmod(tag, 36)
         letters += "0123456789abcdefghijklmnopqrstuvwxyz"[rest]
-    return f"[{kind.upper()}_{letters}]"
+    return letters
+
+
+def _invent(key: bytes, label: str, word: str, syllables: int) -> str:
+    """An invented word, equal for equal words; each syllable has 864 forms (9.7 bits)."""
+    rest, out = _digest(key, label, word), ""
+    for _ in range(syllables):
+        rest, a = divmod(rest, 18)
+        rest, b = divmod(rest, 6)
+        rest, c = divmod(rest, 8)
+        out += "bdfghjklmnprstvwzc"[a] + "aeiouy"[b] + "lmnrstkx"[c]
+    return out.capitalize()
 
 
 def _like(word: str, pattern: str) -> str:
     return word.upper() if pattern.isupper() and len(pattern) > 1 else word.lower() if pattern.islower() else word
 
 
-def _scramble(value: str, key: bytes, label: str, digits_only: bool) -> str:
-    """Each digit (and, if wanted, letter) replaced by a keyed one of its kind; the rest of the format stays."""
-    state, out = _digest(key, label), []
-    for i, c in enumerate(value):
-        state = _digest(key, label, str(state), str(i))
-        if c.isdigit():
-            out.append(str(state % 10) if c != "0" or i else "0")
-        elif c.isalpha() and c.isascii() and not digits_only:
-            letter = "abcdefghijklmnopqrstuvwxyz"[state % 26]
-            out.append(letter.upper() if c.isupper() else letter)
+def _permute(value: str, key: bytes, label: str) -> str:
+    """Digits and ASCII letters through a keyed permutation of all values of this form; a first digit stays zero or not.
+
+    Other characters stay. Separators do not count: equal digits give equal digits.
+    """
+    digits, bases, lows = [], [], []
+    for c in value:
+        if c.isdecimal():
+            first = not digits
+            digits.append(int(c))
+            lows.append(int(first and c != "0"))
+            bases.append(1 if first and int(c) == 0 else 9 if first else 10)
+        elif c.isascii() and c.isalpha():
+            digits.append(ord(c.upper()) - 65)
+            lows.append(0)
+            bases.append(26)
+    number, size = 0, 1
+    for d, low, base in zip(digits, lows, bases):
+        number, size = number * base + d - low, size * base
+    half = max(1, -(-(size - 1).bit_length() // 2))
+    form, mask = f"{label}:{bases}", (1 << half) - 1
+    while size > 1:
+        left, right = number >> half, number & mask
+        for turn in range(8):
+            left, right = right, left ^ (_wide(key, half, form, str(turn), str(right)) & mask)
+        number = left << half | right
+        if number < size:  # else walk on: the cycle returns to the wanted range
+            break
+    for at in reversed(range(len(digits))):
+        number, rest = divmod(number, bases[at])
+        digits[at] = rest + lows[at]
+    out, at = [], 0
+    for c in value:
+        if c.isdecimal():
+            out.append(str(digits[at]))
+        elif c.isascii() and c.isalpha():
+            out.append(chr(digits[at] + (65 if c.isupper() else 97)))
         else:
             out.append(c)
+            continue
+        at += 1
+    return "".join(out)
+
+
+def _wide(key: bytes, bits: int, *parts: str) -> int:
+    out = _digest(key, *parts)
+    for more in range(1, -(-bits // 64)):
+        out = out << 64 | _digest(key, *parts, str(more))
+    return out
+
+
+_ACCENTED = "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xDF)))) + "ŁŚŽŠ"
+
+
+def _initials(text: str, key: bytes) -> str:
+    """Initials through a keyed permutation of the letters."""
+    out = []
+    for c in text.upper():
+        letters = next((x for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", _ACCENTED) if c in x), "")
+        out.append(sorted(letters, key=lambda x: _digest(key, "initial", x))[letters.index(c)] if letters else c)
     return "".join(out)
 
 
-def surrogate(kind: str, value: str, key: bytes, draw: int = 0) -> str:
+def _name(value: str, key: bytes) -> str:
+    parts = normal_form("name", value).split(" ")
+    given, middle = parts[0], [p for p in parts[1:-1] if p.endswith(".")]
+    family = " ".join([p for p in parts[1:-1] if not p.endswith(".")] + parts[-1:])
+    words = _WORDS.findall(value)
+    swapped = ", " in value
+    new_family = _like(_invent(key, "family", family, 5), words[0 if swapped else -1])
+    if given.endswith("."):
+        new_given = _initials(given, key)
+    else:
+        pool = POOL["female" if given.endswith(_FEMALE_ENDS) else "male"]
+        new_given = f"{pool[_digest(key, 'given', given) % len(pool)]}-{_invent(key, 'second', given, 4)}"
+        long = [w for w in words if len(w) > 1]
+        new_given = _like(new_given, long[-1] if swapped else long[0])
+    new_given = " ".join([new_given, *(_initials(m, key) for m in middle)])
+    return f"{new_family}, {new_given}" if swapped else f"{new_given} {new_family}"
+
+
+# Words of an address that tell its form and not its place.
+_ADDRESS_FORM = frozenset(
+    "flat apt apartment unit suite room bis ter de la l du des d aux au à le les del los der den am an auf im in zum zur alte neue obere untere".split()
+)
+_STREET_FIRST = frozenset("rue avenue chemin boulevard place impasse allée quai route cours square passage calle avenida plaza paseo camino".split())
+_STREET_LAST = re.compile(rf"{_EN_STREET}$", re.I)
+_STREET_END = re.compile(r"^(.*?)(straße|strasse|str|weg|gasse|platz|allee|damm|ring|ufer|steig|pfad|markt|hof|graben|chaussee)$", re.I)
+_ADDRESS_WORD = re.compile(rf"(?<![\w])[{_UP}{_LOW}]+(?:-[{_UP}{_LOW}]+)*|\d+")
+
+
+def _address(value: str, key: bytes) -> str:
+    """Street and town invented word by word, numbers permuted; words of form (street, flat, de la) stay."""
+    place = ADDRESS_PLACE.search(value)
+    cut = place.start() if place and place.end() == len(value) else len(value)
+    found = list(_ADDRESS_WORD.finditer(value))
+    names = [m for m in found if not m.group()[0].isdigit() and m.start() < cut and m.group().lower() not in _ADDRESS_FORM and len(m.group()) > 1]
+    street_first = bool(names) and names[0].group().lower() in _STREET_FIRST and len(names) > 1
+    out, at = [], 0
+    for m in found:
+        word, low = m.group(), m.group().lower()
+        if word[0].isdigit():
+            new = _permute(word, key, "number")
+        elif len(word) == 1 or m.start() < cut and low in _ADDRESS_FORM:
+            new = word
+        elif names and m.start() == names[0].start() and street_first:
+            new = word
+        elif names and m.start() == names[-1].start() and not street_first and len(names) > 1 and _STREET_LAST.match(word):
+            new = word
+        else:
+            end = _STREET_END.match(word) if m.start() < cut and not street_first else None
+            stem, tail = (end.group(1), end.group(2)) if end else (word, "")
+            new = _like(_invent(key, "place", stem.lower(), 4), stem or word) + (tail if stem else tail.lower())
+        out += [value[at : m.start()], new]
+        at = m.end()
+    return "".join(out) + value[at:]
+
+
+#: Country codes, so that every way to write a number keeps the same digits.
+_LEAD = re.compile(r"(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|0")
+
+
+def surrogate(kind: str, value: str, key: bytes) -> str:
     """An invented value of the same type, format, script and case; equal for equal values."""
-    normal = normal_form(kind, value)
-    label = f"{kind}:{normal}:{draw}"
     if kind == "name":
-        parts = normal.split(" ")
-        given, family = parts[0], parts[-1]
-        gender = "female" if given.rstrip(".").endswith(_FEMALE_ENDS) else "male"
-        new_given = POOL[gender][_digest(key, "given", given, str(draw)) % 20]
-        new_family = POOL["family"][_digest(key, "family", family, str(draw)) % 20]
-        words = _WORDS.findall(value)
-        initial = re.match(rf"[{_UP}]\. ?", value)
-        if ", " in value:
-            return f"{_like(new_family, words[0])}, {_like(new_given, words[-1])}"
-        if initial:
-            return f"{new_given[0]}. {_like(new_family, words[-1])}"
-        return f"{_like(new_given, words[0])} {_like(new_family, words[-1])}"
+        return _name(value, key)
+    if kind == "address":
+        return _address(value, key)
     if kind == "email":
         head = re.match(rf"(?:{_LOCAL})(?:\sdot\s{_LOCAL})*(?=@|\s|\(|\[|\{{|<)", value, re.I)
         cut = head.end() if head else value.find("@")
-        return _keep_dots(value[:cut], key, label) + value[cut:]
-    if kind == "address":
-        return re.sub(r"\d+", lambda m: _scramble(m.group(), key, f"{label}:{m.start()}", True), value)
-    lead = re.match(r"(?:\+\d{1,3}|00\d{2}|0)", value) if kind == "phone" else None
+        tag = _tag(key, "email", normal_form(kind, value))
+        return (tag.upper() if value[:cut].isupper() and cut > 1 else tag) + value[cut:]
+    lead = _LEAD.match(value) if kind == "phone" else None
     cut = lead.end() if lead else 0
-    return value[:cut] + _scramble(value[cut:], key, label, kind == "phone")
-
-
-def _keep_dots(local: str, key: bytes, label: str) -> str:
-    return "".join(p if p.strip().lower() == "dot" else _scramble(p, key, f"{label}:{i}", False) for i, p in enumerate(re.split(r"(\sdot\s)", local, flags=re.I)))
+    return value[:cut] + _permute(value[cut:], key, f"{kind}:{value[:cut]}")
 
 
 def replace_cases(text: str, cases: list[tuple[int, int, str]], key: bytes, mode: str = "placeholder") -> str:
-    """The text with its cases replaced; different values never share a replacement or meet an original."""
+    """The text with its cases replaced; a replacement depends on nothing but value and key."""
     make = placeholder if mode == "placeholder" else surrogate
-    chosen: dict[tuple[str, str], int] = {}
-    used: dict[str, tuple[str, str]] = {}
-    originals = {normal_form(kind, text[s:e]) for s, e, kind in cases}
     out, at = [], 0
     for start, end, kind in cases:
-        value = text[start:end]
-        identity = (kind, normal_form(kind, value))
-        if identity not in chosen:
-            draw = 0
-            while draw < 50:
-                normal = normal_form(kind, make(kind, value, key, draw))
-                if used.get(normal, identity) == identity and normal not in originals:
-                    break
-                draw += 1
-            chosen[identity] = draw
-            used[normal] = identity
-        out += [text[at:start], make(kind, value, key, chosen[identity])]
+        out += [text[at:start], make(kind, text[start:end], key)]
         at = end
     return "".join(out) + text[at:]
 

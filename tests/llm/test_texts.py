@@ -156,3 +156,37 @@ def test_personal_operator(spark, rows):
     out = {r["doc_id"]: r for r in personal.redact_documents(docs, names).collect()}
     assert out[2]["text"] is None and out[3]["text"] == "" and out[1]["cases"] == 2 and "a@b" not in out[1]["text"]
     assert personal.personal_cases(docs.limit(0), names).collect() == []
+
+
+def fakes(kind, values, key=b"k"):
+    return [personal.replace_cases(v, [(0, len(v), kind)], key, "surrogate") for v in values]
+
+
+def test_surrogates_of_many_values_differ():
+    names = [f"{g} {f}" for g in ("Marena", "Anselm", "M.", "A.", "Anselm B.", "Anselm C.") for f in (f"Tolv{chr(97 + i // 26)}{chr(97 + i % 26)}k" for i in range(500))]
+    phones = [f"+1 327 555 {i:04d}" for i in range(3000)] + [f"0{i:04d} 1234" for i in range(3000)]
+    places = [f"{i} Mill{chr(97 + i % 26)} Road, {i % 7}1000 Grauen" for i in range(1000)]
+    for kind, values in {"name": names, "phone": phones, "address": places, "email": [f"u{i}@b.example" for i in range(3000)], "id_number": [f"X{i:07d}" for i in range(3000)]}.items():
+        made = fakes(kind, values)
+        assert len({personal.normal_form(kind, v) for v in made}) == len(values) and not set(made) & set(values), kind
+
+
+def test_surrogates_are_the_same_in_every_text():
+    names = [f"Anselm Tolv{chr(97 + i // 26)}{chr(97 + i % 26)}k" for i in range(600)]
+    text, cases = "", []
+    for n in names:
+        cases.append((len(text), len(text) + len(n), "name"))
+        text += n + ";"
+    assert personal.replace_cases(text, cases, b"k", "surrogate")[:-1].split(";") == fakes("name", names)
+    digits = {personal.normal_form("phone", v) for v in fakes("phone", ["+49 (0)30/23125-420", "+49 030 23125 420", "+4903023125420"])}
+    assert len(digits) == 1
+    assert fakes("name", ["Tolvik, Marena"])[0].split(", ")[::-1] == fakes("name", ["Marena Tolvik"])[0].split(" ")
+
+
+@pytest.mark.parametrize(("value", "kept", "gone"), [
+    ("53 avenue du Vieux Port, 09033 Grauenfels", ["avenue du"], ["Vieux", "Port", "Grauenfels", "09033"]), ("Flat 12, 38 Mill Road", ["Flat", "Road"], ["Mill"]),
+    ("Hafenstr. 21", ["str. "], ["Hafen"]), ("Am Alten Weg 3, 12345 Bad-Stadt", ["Am ", "weg"], ["Stadt", "12345"]), ("Calle de la Luna, 7", ["Calle de la "], ["Luna"]), ("12 Court Road", ["Road"], ["Court"]), ("Am Ring 4", ["Am ", "ring "], ["Am Ring"]),
+])
+def test_street_and_town_are_invented(value, kept, gone):
+    made = fakes("address", [value])[0]
+    assert all(k.lower() in made.lower() for k in kept) and not any(g.lower() in made.lower() for g in gone)
