@@ -38,6 +38,8 @@ SHARD, COPIES, MAX_PIVOTS = 330, 3, 100_000
 PROBES = 2.0
 #: Vectors in one graph; a larger shard is cut again inside its task.
 MAX_GRAPH = 4000
+#: Best pairs kept per vector between the halves of a shard that pivots cannot cut.
+CROSS = 16
 #: Ids kept per group of exact copies: one more than the neighbours wanted.
 KEPT_IDS = 6
 
@@ -186,11 +188,13 @@ def _graph_pairs(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return vamana.refine(sims, links, met)
     pivots = units[np.random.default_rng(7).choice(n, -(-n * 2 // MAX_GRAPH) + 1, replace=False)]
     near = _nearest_pivots(units, pivots, 2)
+    parts = [np.nonzero((near == p).any(1))[0] for p in range(len(pivots))]
     found = []
-    for p in range(len(pivots)):
-        part = np.nonzero((near == p).any(1))[0]
-        if len(part) >= n:
-            part = np.array_split(part, 2)[p % 2]
+    if max(map(len, parts)) >= n:  # pivots do not cut it, as with equal similarities: halves, and all between them
+        parts = np.array_split(np.arange(n), 2)
+        a, b = _probe_pairs(units[parts[0]], units[parts[1]], CROSS, None)
+        found.append(np.stack([parts[0][a], parts[1][b]]))
+    for part in parts:
         a, b = _graph_pairs(units[part])
         found.append(np.stack([part[a], part[b]]))
     both = np.unique(np.concatenate(found, 1), axis=1)

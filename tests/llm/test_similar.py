@@ -114,3 +114,16 @@ def test_all_neighbours_of_lone_vectors(spark, tmp_path):
     np.fill_diagonal(table, -2)
     want = {(f"v{i:04d}", f"v{j:04d}") for i, row in enumerate(table) for j in np.argsort(-row)[:5]}
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_shard_that_pivots_cannot_cut(monkeypatch):
+    monkeypatch.setattr(similar, "MAX_GRAPH", 60)
+    monkeypatch.setattr(similar, "_nearest_pivots", lambda units, pivots, copies: np.tile(np.arange(0, 2 * copies, 2), (len(units), 1)))
+    units = clustered(5, 20, 5)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    units = units[np.random.default_rng(2).permutation(len(units))]
+    met = set(zip(*(x.tolist() for x in similar._graph_pairs(units))))
+    met |= {(b, a) for a, b in met}
+    table = units @ units.T
+    np.fill_diagonal(table, -2)
+    assert all((i, int(j)) in met for i, row in enumerate(table) for j in np.argsort(-row)[:4])
