@@ -26,7 +26,7 @@ GO_LEXER = Lexer(
     "break case chan const continue default defer else fallthrough for func go goto if import interface map package"
     " range return select struct switch type var",
     "+ - * / % & | ^ << >> &^ && || == != < <= > >= = += -= *= /= %= &= |= ^= <<= >>= &^= := ++ -- <- ! ~ . , : ; ...",
-    newline=_NEWLINE,
+    newline=_NEWLINE, marks=False,
 )
 _GO = r"""
 str = STR / TPL
@@ -99,7 +99,7 @@ JAVA_LEXER = Lexer(
     "abstract assert break case catch class const continue default do else enum extends final finally for goto if implements"
     " import instanceof interface native new package private protected public return static strictfp super switch synchronized"
     " this throw throws transient try volatile while yield",
-    "+ - * / % & | ^ ~ ! < > <= >= == != && || ++ -- = += -= *= /= %= &= |= ^= <<= >>= ? : :: -> . , ; ... @",
+    "+ - * / % & | ^ ~ ! < > <= >= == != && || ++ -- = += -= *= /= %= &= |= ^= <<= ? : :: -> . , ; ... @",
     letters="$",
 )
 _JAVA = r"""
@@ -120,18 +120,16 @@ new = 'new' made ((@idx / @dim)+ @arrinit? / @args @cbody?)
 core = NUM / STR / new / ID ta (@dim)* &'::' / ID / 'this' / 'super' / @args / 'switch' @args @sblock
 post = '.' (ID / 'this' / 'super' / 'class' / new / ta ID) / @args / @idx / @dim / '++' / '--' / '::' ta? (ID / 'new')
 operand = pre* (lam @block / core post*)
-shift = '<' '<' / '>' '>' '>' '=' / '>' '>' '=' / '>' '>' '>' / '>' '>' / '>' '>='
+shift = '<' '<' / '>' '>' '>=' / '>' '>=' / '>' '>' '>' / '>' '>'
 bin = shift / '+' / '-' / '*' / '/' / '%' / '&' / '|' / '^' / '<=' / '>=' / '<' / '>' / '==' / '!=' / '&&' / '||' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<='
 isa = 'instanceof' 'final'? type (ID / @args ID?)?
 flat = operand (isa / bin operand)*
-flat2 = flat ('?' flat ':' flat)*
-expr = flat ('?' flat2 ':' flat)* 
+expr = flat ('?' expr ':' flat)*
 init = @arrinit / expr
 exprs = expr (',' expr)*
 var = ID @dim* ('=' init)?
 vars = ('final' / ann)* type var (',' var)*
-head = 'if' @args / 'while' @args / 'for' @forhead / ID ':' !':'
-body = head* (@block / simple)
+body = ifs / loop / ID ':' !':' body / @block / simple
 ifs = 'if' @args body ('else' 'if' @args body)* ('else' body)?
 label = 'case' lab (',' lab)* ('if' expr)? / 'default'
 lab = '-'? NUM / STR / 'default' / made (ID / @args ID?)? 
@@ -139,10 +137,8 @@ case = label (':' / '->' (@block / 'throw' expr ';' / expr ';')) / stmt
 jump = 'return' expr? ';' / 'throw' expr ';' / ('break' / 'continue') ID? ';' / 'assert' expr (':' expr)? ';' / 'yield' expr ';'
 whole = 'do' (@block / expr ';') 'while' @args ';' / 'try' @res? @block ('catch' @catchp @block)* ('finally' @block)? / 'switch' @args @sblock / 'synchronized' @args @block
 simple = ';' / jump / whole / vars ';' / expr ';'
-round = 'while' @args / 'for' @forhead / ID ':' !':'
-loop = ('while' @args / 'for' @forhead) round* (ifs / @block / simple) / 'do' (ifs / body) 'while' @args ';'
-stmt = @block / ifs / loop / ID ':' !':' stmt1 / simple / mods (class / face / enum / rec)
-stmt1 = ifs / loop / @block / simple
+loop = ('while' @args / 'for' @forhead) body / 'do' body 'while' @args ';'
+stmt = body / mods (class / face / enum / rec)
 mods = (ann / 'public' / 'private' / 'protected' / 'static' / 'final' / 'abstract' / 'native' / 'synchronized' / 'transient' / 'volatile' / 'strictfp' / 'default' / ID &('class' / 'interface' / 'abstract' / 'public' / 'static') / ID '-' ID &('class' / 'interface'))*
 class = 'class' ID tps? ('extends' type)? ('implements' types)? (ID types)? @cbody
 face = '@'? 'interface' ID tps? ('extends' types)? (ID types)? @cbody
@@ -183,7 +179,7 @@ JAVA = Grammar(_JAVA, JAVA_LEXER.tokens, {
 
 PYTHON_LEXER = PythonLexer(
     r"[ \t\f\v\r]++|#[^\n]*+|\\\r?\n",
-    [r"(?i:[rbuft]{0,2})(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|" + _DQ + "|" + _SQ + ")"],
+    [r"type[ \t]+(?=(?!(?:in|is|and|or|not|if|else|for|as)\b)[^\W\d]\w*+[ \t]*(?:\[|=(?!=)))", r"(?i:[rbuft]{0,2})(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|" + _DQ + "|" + _SQ + ")"],
     "and as assert async await break class continue def del elif else except finally for from global if import in is lambda"
     " nonlocal not or pass raise return try while with yield",
     "+ - * ** / // % @ << >> & | ^ ~ := < > <= >= == != -> += -= *= /= //= %= @= &= |= ^= >>= <<= **= . , : ; = ... !",
@@ -191,7 +187,7 @@ PYTHON_LEXER = PythonLexer(
 )
 _PYTHON = r"""
 str = STR
-lamp = ('*' / '**')? ID ('=' ('-' / '+' / 'not')* core post*)? / '*' / '/'
+lamp = ('*' / '**')? ID ('=' expr)? / '*' / '/'
 un = '+' / '-' / '~' / 'not' / 'await' / 'lambda' (lamp (',' lamp)* ','?)? ':'
 core = ID / NUM / str+ / '...' / @tuple / @list / @dict
 post = '.' ID / @args / @idx
@@ -202,7 +198,7 @@ star = '*' or / expr
 named = ID ':=' expr / expr
 snamed = '*' or / named
 exprs = star (',' star)* ','?
-tgt = '*'? core post*
+tgt = '*'? (core (@args* ('.' ID / @idx))+ / ID / @tuple / @list) !@args
 tgts = tgt (',' tgt)* ','?
 comp = ('async'? 'for' tgts 'in' or ('if' (ID ':=' or / or))*)+
 yield = 'yield' ('from' expr / exprs)?
@@ -211,7 +207,8 @@ name = ID ('as' ID)?
 aug = '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '>>=' / '<<=' / '**='
 assign = (tgts '=')+ (yield / exprs) / tgt ':' expr ('=' (yield / exprs))? / tgt aug (yield / exprs) / yield / exprs
 from = 'from' ('.' / '...')* dotted? 'import' ('*' / @names / name (',' name)*)
-simple = 'pass' / 'break' / 'continue' / 'return' exprs? / 'raise' (expr ('from' expr)?)? / ('global' / 'nonlocal') ID (',' ID)* / 'del' tgts / 'assert' expr (',' expr)? / 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)* / from / assign
+typed = TYPE ID @tparams? '=' expr
+simple = 'pass' / typed / 'break' / 'continue' / 'return' exprs? / 'raise' (expr ('from' expr)?)? / ('global' / 'nonlocal') ID (',' ID)* / 'del' tgts / 'assert' expr (',' expr)? / 'import' dotted ('as' ID)? (',' dotted ('as' ID)?)* / from / assign
 line = simple (';' simple)* ';'? NL
 suite = NL @suite / line
 else = 'else' ':' suite
@@ -225,10 +222,12 @@ with = 'async'? 'with' (item (',' item)* ':' / @withs ':') suite
 deco = '@' named NL
 def = deco* 'async'? 'def' ID @tparams? @params ('->' expr)? ':' suite
 class = deco* 'class' ID @tparams? @args? ':' suite
-match = ID exprs ':' NL @cases
+match = ID snamed (',' snamed)* ','? ':' NL @cases
 stmt = ifs / while / for / try / with / def / class / match / line
-args = (arg (',' arg)* ','?)?
-arg = '**' expr / '*' expr / ID '=' expr / named comp?
+args = ((arg (',' arg)* (',' karg)* (',' darg)* / karg (',' karg)* (',' darg)* / darg (',' darg)*) ','?)?
+arg = '*' expr / !(ID '=') named comp?
+karg = ID '=' expr / '*' expr
+darg = ID '=' expr / '**' expr
 tuple = (yield / named comp / snamed (',' snamed)* ','?)?
 names = name (',' name)* ','?
 param = ('*' / '**') ID (':' star)? / '*' / '/' / ID (':' expr)? ('=' expr)?
@@ -242,21 +241,35 @@ tparams = tparam (',' tparam)* ','?
 pair = '**' or / expr ':' expr
 dict = ((expr ':' expr) comp / pair (',' pair)* ','? / named comp / snamed (',' snamed)* ','?)?
 block = stmt+
-case = ID star (',' star)* ','? ('as' ID)? ('if' named)? ':' suite
+pcore = ID / NUM / str+ / @tuple / @list / @dict / @pats / @pdict
+pat1 = '-'? pcore ('.' ID / @args / @pats)*
+pat = '*' ID / pat1 (('|' / '+' / '-') pat1)* ('as' ID)?
+parg = (ID '=')? pat
+pats = parg (',' parg)* ','?
+ppair = '**' ID / '-'? core post* (('+' / '-') NUM)? ':' pat
+pdict = ppair (',' ppair)* ','?
+case = ID pat (',' pat)* ','? ('if' named)? ':' suite
 cases = case+
 file = NL? stmt*
 """
 PYTHON = Grammar(_PYTHON, PYTHON_LEXER.tokens, {
-    "(": {r: r for r in ("args", "tuple", "names", "params", "withs")},
-    "[": {r: r for r in ("list", "idx", "tparams")},
-    "{": {"dict": "dict"},
+    "(": {r: r for r in ("args", "tuple", "names", "params", "withs", "pats")},
+    "[": {r: r for r in ("list", "idx", "tparams", "pats")},
+    "{": {r: r for r in ("dict", "pdict")},
     "<": {"suite": "block", "cases": "cases"},
-}, "file", "NL")
+}, "file", "NL", {"pats": ("args", "tuple", "list"), "pdict": ("dict",)})
 
 # ------------------------------------------------------------------ TypeScript and JavaScript
 
 _TPL = r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{(?:[^{}`'\"]|\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|\{[^{}`]*\})*+\})*+`"
-_REGEX = r"(?:(?<=[(,=:\[!&|?{};\n>])|(?<=[(,=:\[!&|?{};>] )|(?<=return )|(?<=return))/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/\w*"
+#: What may stand before a regular expression, on its line or at the end of the line before; a division otherwise.
+_BEFORE = r"[(,=:\[!&|?{};>+\-*%^~]"
+_REGEX = (
+    "/(?![/*])(?:" + "|".join(
+        rf"(?<={before}[ \t]{{{width}}}/)" for width in range(80)
+        for before in (_BEFORE, r"[(,=:\[!&|?{};>+}]\n", r"\breturn", r"\btypeof", r"\bcase", r"\bof", r"\bin")
+    ) + r")(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/\w*"
+)
 _SOFT = (
     "async of get set static as from let type interface enum namespace module declare abstract readonly public private"
     " protected implements is keyof infer satisfies override asserts unique await yield"
@@ -266,7 +279,7 @@ _HARD = (
     " instanceof new return super switch this throw try typeof var void while with"
 )
 SCRIPT_LEXER = Lexer(
-    _LINE_SKIP, [_DQ, _SQ, _TPL, _REGEX], f"{_SOFT} {_HARD}",
+    _LINE_SKIP, [r"(?:using[ \t]++|accessor[ \t]++)(?=[^\W\d]|[$#])(?!(?:of|in|instanceof|as)\b(?!\s*=))|global\s++(?=\{)", _DQ, _SQ, _TPL, _REGEX], f"{_SOFT} {_HARD}",
     "+ - * / % ** & | ^ ~ ! < > <= >= == != === !== && || ?? ++ -- = += -= *= /= %= **= &= |= ^= <<= &&= ||= ??= ? ?. : => . , ; ... @",
     letters="$#", newline=_NEWLINE,
 )
@@ -275,15 +288,15 @@ _quoted = " / ".join
 
 def _script(typed: bool) -> str:
     never = "!ID ID"
-    types = """tv = ID / soft / STR / TPL / 'void' / 'this' / '-'? NUM / @ttuple / @tobj / @tparen / 'import' @args
+    types = """tv = 'infer' id ('extends' tu)? / ID / soft / STR / TPL / 'void' / 'this' / '-'? NUM / @ttuple / @tobj / @tparen / 'import' @args
 tb = tv ('.' name)* ta? (@tidx / '.' name ta?)*
-tu = ('|' / '&')? tpre* tb (('|' / '&') tpre* tb)*
-ty = tu ('is' tu)? ('extends' tu '?' tu ':' tu)*
+tfun = 'abstract'? 'new'? tpd? @params '=>' ty
+tu = tfun / ('|' / '&')? tpre* tb (('|' / '&') (tfun / tpre* tb))*
+ty = tu ('is' tu)? ('extends' tu '?' ty ':' ty)?
 ta = '<' ty (',' ty)* ','? '>'
 type = ty
-tpre = 'keyof' / 'readonly' / 'unique' / 'infer' / 'typeof' / 'asserts' / 'abstract'? 'new'? tgen? @params '=>'
-tgen = '<' id ('extends' tv)? (',' id ('extends' tv)?)* '>'
-tpd1 = 'const'? 'in'? id ('extends' tu)? ('=' tu)?
+tpre = 'keyof' / 'readonly' / 'unique' / 'typeof' / 'asserts'
+tpd1 = 'const'? 'in'? (ID &id)? id ('extends' ty)? ('=' ty)?
 tpd = '<' tpd1 (',' tpd1)* ','? '>'
 """
     return rf"""
@@ -297,58 +310,56 @@ gen = {"tpd" if typed else never}
 targs = {"ta" if typed else never}
 end = ';' / ASI / END
 fun = 'async'? 'function' '*'? id? gen? @params annot? @block
-deco = '@' id ('.' name)* @args? ASI?
+deco = '@' (id ('.' name)* targs? @args? / @args) ASI?
 class = deco* {"'abstract'?" if typed else ""} 'class' (!'extends' !'implements' id)? gen? ('extends' (id ('.' name)* targs? @args? / @args))? {"('implements' type (',' type)*)?" if typed else ""} @cbody
 lam = 'async'? (id / gen? @params annot?) '=>'
 core = fun / class / id / NUM / STR / TPL / 'this' / 'super' / @args / @arr / @obj / 'import' (@args / '.' name) / 'new' '.' name
-un = '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' !('=>' / ',' / '.') / 'yield' '*'? &(ID / NUM / STR / TPL / 'this' / @args / @arr / @obj / 'new' / 'await') / 'new' !'.' {"/ ta &(ID / 'this' / @args)" if typed else ""}
-post = '.' name / '?.' (name / @args / @idx) / @args / @idx / TPL / '++' / '--' {"/ '!' !'=' / ta &(@args / TPL)" if typed else ""}
+un = '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' ASI? / 'delete' / 'await' !('=>' / ',' / '.') / 'yield' '*'? &(ID / NUM / STR / TPL / 'this' / @args / @arr / @obj / 'new' / 'await') / 'new' !'.' {"/ ta &(ID / 'this' / @args)" if typed else ""}
+post = '.' name / '?.' (name / @args / @idx) / @args / ASI? @idx / TPL / '++' / '--' {"/ '!' !'=' / ta &(@args / TPL)" if typed else ""}
 pre = lam !@block / un
 operand = pre* (lam @block / core post*)
-shift = '<' '<' / '>' '>' '>' '=' / '>' '>' '=' / '>' '>' '>' / '>' '>' / '>' '>=' / '>' '>' '>='
-bin = shift / '+' / '-' / '*' / '/' / '%' / '**' / '&' / '|' / '^' / '<=' / '>=' / '<' / '>' / '==' / '!=' / '===' / '!==' / '&&' / '||' / '??' / 'in' / 'instanceof' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '&=' / '|=' / '^=' / '<<=' / '&&=' / '||=' / '??='
+shift = '<' '<' / '>' '>' '>=' / '>' '>=' / '>' '>' '>' / '>' '>'
+bin = shift / '+' / '-' / '*' / '/' / '%' / '**' / '&' / '|' / '^' / '<=' / '>=' / '<' / '>' ASI? / '==' / '!=' / '===' / '!==' / '&&' / '||' / '??' / 'in' / 'instanceof' / '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '&=' / '|=' / '^=' / '<<=' / '&&=' / '||=' / '??='
 tail = {"('as' / 'satisfies') ('const' / type) / " if typed else ""}bin operand
 flat = operand tail*
-flat2 = flat ('?' flat ':' flat)*
-expr = flat ('?' flat2 ':' flat)*
+expr = flat ('?' expr ':' flat)*
 exprs = expr (',' expr)*
 bind = (id / @obj / @arr) {"'!'?" if typed else ""} annot? ('=' expr)?
-var = ('var' / 'let' / 'const') bind (',' bind)*
-head = 'if' @args / 'for' 'await'? @forhead / 'while' @args / id ':' / 'with' @args
-body = ASI? (head ASI?)* (@block / simple)
+set = (id / @obj / @arr) '=' expr
+var = {"('var' / 'let' / 'const' / 'await'? TYPE) bind (',' bind)*" if typed else "('var' / 'let') bind (',' bind)* / ('const' / 'await'? TYPE) set (',' set)*"}
+body = ASI? (ifs / loop / id ':' body / @block / simple)
 ifs = 'if' @args body (ASI? 'else' 'if' @args body)* (ASI? 'else' body)?
-round = 'for' 'await'? @forhead / 'while' @args / 'with' @args / id ':'
-loop = ('for' 'await'? @forhead / 'while' @args / 'with' @args) ASI? (round ASI?)* (ifs / @block / simple) / 'do' ASI? (ifs / body) ASI? 'while' @args end?
+loop = ('for' 'await'? @forhead / 'while' @args / 'with' @args) body / 'do' body ASI? 'while' @args end?
 whole = 'try' @block (ASI? 'catch' @params? @block)? (ASI? 'finally' @block)? / 'switch' @args @sblock / 'do' @block ASI? 'while' @args end?
 jump = 'return' exprs? end / 'throw' exprs end / ('break' / 'continue') id? end / 'debugger' end
 simple = ';' / ASI / var end / jump / whole / exprs end
 spec = 'type'? (name / STR) ('as' (name / STR))?
 clause = id (',' (@specs / '*' 'as' id))? / '*' 'as' id / @specs
-import = 'import' (STR / 'type'? clause 'from' STR) ('with' @obj)? end
-export = 'export' ('default' (fun / class {"/ 'interface' id @tobj" if typed else ""} / exprs end) / '*' ('as' name)? 'from' STR end / 'type'? @specs ('from' STR)? end / deco* decl {"/ '=' exprs end" if typed else ""})
+import = 'import' ({"'type'? id '=' exprs / " if typed else ""}STR / 'type'? clause 'from' STR) ('with' @obj)? end
+export = deco* 'export' ({"import / 'as' 'namespace' id end / " if typed else ""}'default' (fun / class {"/ face / 'async'? 'function' '*'? id? gen? @params annot? end" if typed else ""} / exprs end) / 'type'? '*' ('as' (name / STR))? 'from' STR ('with' @obj)? end / 'type'? @specs ('from' STR)? end / deco* decl {"/ '=' exprs end" if typed else ""})
 {'''alias = 'type' id gen? '=' type end
 face = 'interface' id gen? ('extends' type (',' type)*)? @tobj
-space = ('namespace' / 'module') (id ('.' id)* / STR) @block
+space = ('namespace' / 'module') (id ('.' id)* / STR) @block / TYPE @block
 enum = 'const'? 'enum' id @ebody
-decl = fun / class / face / alias / space / enum / 'function' id gen? @params annot? end / var end / 'declare' (fun / 'function' id gen? @params annot? end / class / face / alias / space / enum / var end / id @block)
+decl = fun / class / face / alias / space / enum / 'async'? 'function' '*'? id gen? @params annot? end / var end / 'declare' (fun / 'function' id gen? @params annot? end / class / face / alias / space / enum / var end / id @block)
 ''' if typed else "decl = fun / class / var end"}
 stmt = @block / ifs / loop / whole / import / export / decl / id ':' body / simple
 case = ('case' exprs / 'default') ':' / stmt
 prop = name / STR / NUM / @idx
-mod = ('static' / 'get' / 'set' / 'async' {"/ 'public' / 'private' / 'protected' / 'readonly' / 'abstract' / 'declare' / 'override'" if typed else ""}) &(prop / '*')
+mod = ('static' / 'get' / 'set' / 'async' {"/ 'public' / 'private' / 'protected' / 'readonly' / 'abstract' / 'declare' / 'override'" if typed else ""} / TYPE) &(prop / '*')
 member = ';' / ASI / 'static' @block / {"mod* @tkey annot end / " if typed else ""}deco* mod* '*'? prop opt? (gen? @params annot? (@block {"/ end" if typed else ""}) / annot? ('=' expr)? end)
 pair = '...' expr / mod* '*'? prop gen? @params annot? @block / prop ':' expr / id ('=' expr)?
 param = deco* {"('public' / 'private' / 'protected' / 'readonly' / 'override')*" if typed else ""} '...'? (id / 'this' / @obj / @arr) opt? annot? ('=' expr)?
 params = (param (',' param)* ','?)?
 args = ('...'? expr (',' '...'? expr)* ','?)?
-forhead = ('var' / 'let' / 'const')? operand1 ('of' / 'in') exprs / (var / exprs)? ';' exprs? ';' exprs?
+forhead = ('var' / 'let' / 'const' / 'await'? TYPE)? operand1 ('of' / 'in') exprs / (var / exprs)? ';' exprs? ';' exprs?
 operand1 = (id / @obj / @arr) post*
 {'''tparen = type
 ttuple = (telem (',' telem)* ','?)?
 telem = '...'? (id '?'? ':')? type '?'?
 tidx = type?
 tmem = ('readonly' &(prop / @tkey) / '+' / '-')* ('new'? gen? @params annot? / @tkey ('+' / '-')? '?'? annot / mod* prop '?'? (gen? @params annot? / annot)?)
-titem = ';' / ',' / ASI / tmem &(';' / ',' / ASI / END)
+titem = ';' / ',' / ASI / tmem &(';' / ',' / ASI / END / @params)
 tobj = titem*
 tkey = id (':' type / 'in' type ('as' type)?)
 ebody = ((name / STR) ('=' expr)? (',' (name / STR) ('=' expr)?)* ','?)?
@@ -378,18 +389,19 @@ JAVASCRIPT = _script_grammar(False)
 
 RUST_LEXER = Lexer(
     r"[ \t\r\f\v\n]++|//[^\n]*+|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*+\*/)*+\*/",
-    [r'b?r"[^"]*+"', r'b?r#"[\s\S]*?"#', r'b?r##"[\s\S]*?"##', r'[bc]?"(?:[^"\\]|\\[\s\S])*+"', r"b?'(?:[^'\\\n]|\\[^\n][^'\n]*+)'", r"'[^\W\d]\w*"],
+    [r"union\s+(?=[^\W\d]\w*+\s*+(?:[<{]|where\b))", r"r#[^\W\d]\w*", r'b?r"[^"]*+"', r'b?r#"[\s\S]*?"#', r'b?r##"[\s\S]*?"##', r'[bc]?"(?:[^"\\]|\\[\s\S])*+"', r"b?'(?:[^'\\\n]|\\[^\n][^'\n]*+)'", r"'[^\W\d]\w*"],
     "as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return"
     " self Self static struct super trait type unsafe use where while",
-    "+ - * / % ^ ! & | && || << += -= *= /= %= ^= &= |= <<= = == != > < >= <= @ . .. ... ..= , ; : :: -> => # $ ?",
+    "+ - * / % ^ ! & | && || += -= *= /= %= ^= &= |= = == != > < >= <= @ . .. ... ..= , ; : :: -> => # $ ?",
+    dotted=False,
 )
 _RUST = r"""
 seg = ID / 'self' / 'Self' / 'super' / 'crate'
 tp = '::'? seg ('::' seg)* ta? ('::' seg ta?)*
 tv = tp (@types '->' / @types)? / @types / @tarr / '!'
 tpre = '&&'? '&' LIFE? 'mut'? / '&&' LIFE? 'mut'? / '*' ('const' / 'mut') / 'dyn' / 'impl' / 'for' '<' LIFE (',' LIFE)* '>' / '?' / ('unsafe' / 'extern' STR?)* 'fn' @types '->' / tp @types '->'
-tb = tpre* (('unsafe' / 'extern' STR?)* 'fn' @types / tp @types? / @types / @tarr / '!' / '<' tp ('as' tp)? '>' ('::' seg)+)
-ty = (LIFE / tb) ('+' (LIFE / tb))*
+tb = tpre* (('unsafe' / 'extern' STR?)* 'fn' @types / tp ('!' @mac / @types)? / @types / @tarr / '!' / '<' type ('as' tp)? '>' ('::' seg ta?)+)
+ty = (LIFE / tb) ('+' (LIFE / tb / 'use' ta))*
 ta = '::'? '<' (ga (',' ga)* ','?)? '>'
 ga = ID '=' ty / ID ':' ty / ty / '-'? NUM / STR / @block
 type = ty
@@ -402,15 +414,15 @@ pat1 = lit (('..=' / '...' / '..') (lit / path)?)? / ('..=' ) lit / '..' (lit /
 pat = '|'? pat0* pat1 ('|' pat0* pat1)*
 cpat = pat0* pat1
 lam = 'async'? 'move'? ('||' / '|' (cpat (':' type)? (',' cpat (':' type)?)* ','?)? '|') ('->' type &@block)?
-un = '-' / '!' / '*' / '&&'? '&' 'mut'? / '&&' 'mut'? / '..=' / '..' &(NUM / ID / 'self' / @args)
+un = '-' / '!' / '*' / '&' ID ('mut' / 'const') / '&&'? '&' 'mut'? / '&&' 'mut'? / '..=' / '..' &(NUM / STR / seg / @args / '&' / '*' / '-' / '::')
 jump = 'return' / 'break' LIFE? / 'continue' LIFE?
 start = NUM / STR / seg / @args / @arr / @block / 'if' / 'match' / '&' / '*' / '!' / '-' / '|' / '||' / 'move' / 'unsafe' / 'loop' / '::' / 'async'
 pre = lam / un / jump &start
-core0 = NUM / STR / mac / path / @args / @arr / jump / '..'
+core0 = NUM / STR / mac / path / @args / @arr / jump / '..' / 'unsafe'? @block / 'match' expr0 @arms
 post = '.' (ID ('::' ta)? / NUM / 'await') / '?' / @args / @idx
-bin = '>' '>' '=' / '>' '>=' / '>' '>' / '+' / '-' / '*' / '/' / '%' / '^' / '&' / '|' / '&&' / '||' / '<<' / '+=' / '-=' / '*=' / '/=' / '%=' / '^=' / '&=' / '|=' / '<<=' / '=' / '==' / '!=' / '>' / '<' / '>=' / '<='
+bin = '>' '>=' / '>' '>' / '<' '<=' / '<' '<' / '+' / '-' / '*' / '/' / '%' / '^' / '&' / '|' / '&&' / '||' / '+=' / '-=' / '*=' / '/=' / '%=' / '^=' / '&=' / '|=' / '=' / '==' / '!=' / '>' / '<' / '>=' / '<='
 op0 = pre* core0 post*
-tail0 = 'as' type / ('..=' / '..') op0? / bin op0
+tail0 = 'as' tb / ('..=' / '..') (!@block op0)? / bin op0
 expr0 = op0 tail0*
 cond1 = ('let' pat '=')? expr0
 cond = cond1 ('&&' cond1)*
@@ -418,7 +430,7 @@ ifs = 'if' cond @block ('else' 'if' cond @block)* ('else' @block)?
 blocky = (LIFE ':')? (ifs / 'match' expr0 @arms / 'loop' @block / 'while' cond @block / 'for' pat 'in' expr0 @block / 'unsafe' @block / 'async' 'move'? @block / 'const' @block / @block)
 core = blocky / NUM / STR / mac / path @slit? / @args / @arr / jump / '..'
 op = pre* core post*
-tail = 'as' type / ('..=' / '..') op? / bin op
+tail = 'as' tb / ('..=' / '..') op? / bin op
 expr = op tail*
 attr = '#' '!'? @mac
 vis = 'pub' @mac?
@@ -427,24 +439,24 @@ gps = '<' (gparam (',' gparam)* ','?)? '>'
 wh = ('for' '<' LIFE (',' LIFE)* '>')? (LIFE / type) ':' bounds?
 where = 'where' (wh (',' wh)*)? ','?
 fn = ('const' / 'async' / 'unsafe' / 'extern' STR?)* 'fn' ID gps? @params ('->' type)? where? (@block / ';')
-struct = 'struct' ID gps? (where? @fields / @tfields where? ';' / where? ';')
+struct = ('struct' / TYPE) ID gps? (where? @fields / @tfields where? ';' / where? ';')
 enum = 'enum' ID gps? where? @variants
 impl = 'unsafe'? 'impl' gps? 'const'? '!'? type ('for' type)? where? @items
 trait = 'unsafe'? 'trait' ID gps? (':' bounds?)? where? (@items / '=' bounds ';')
 use1 = ('::')? (seg '::')* (seg ('as' ID)? / '*' / @uses)
-item = attr* vis? (fn / struct / enum / impl / trait / 'mod' ID (@items / ';') / 'use' use1 ';' / ('const' / 'static' 'mut'?) ID ':' type ('=' expr)? ';' / 'type' ID gps? (':' bounds)? where? ('=' type)? ';' / 'extern' 'crate' (ID / 'self') ('as' ID)? ';' / 'unsafe'? 'extern' STR? @items / ID '!' ID @mac ';'?)
+item = attr* vis? (fn / struct / enum / impl / trait / 'mod' ID (@items / ';') / 'use' use1 ';' / ('const' / 'static' 'mut'?) ID ':' type ('=' expr)? ';' / 'type' ID gps? (':' bounds?)? where? ('=' type)? where? ';' / 'extern' 'crate' (ID / 'self') ('as' ID)? ';' / 'unsafe'? 'extern' STR? @items / ID '!' ID @mac ';'?)
 let = 'let' pat (':' type)? ('=' expr ('else' @block)?)? ';'
-stmt = ';' / attr* let / blocky !('.' / '?' / 'as' ) / item / attr* (mac ';'? !('.' / '?') / expr ';') / attr* expr END
+stmt = ';' / attr* let / attr* blocky !('.' / '?' / 'as' ) / item / attr* (mac ';'? !('.' / '?') / expr ';') / attr* expr END
 block = ('#' '!' @mac)* stmt*
 arm = attr* pat ('if' ('let' pat '=')? expr)? '=>' (expr (',' / END) / blocky ','?)
-args = (expr (',' expr)* ','?)?
+args = (attr* expr (',' attr* expr)* ','?)?
 types = (attr* ((ID ':')? type) (',' (attr* (ID ':')? ('...' / type)))* ','?)?
 params = (attr* param (',' attr* param)* ','?)?
 param = ('&' LIFE?)? 'mut'? 'self' (':' type)? / pat ':' type / '...' / type
 tfields = (attr* vis? type (',' attr* vis? type)* ','?)?
 pats = (pat (',' pat)* ','?)?
 macro = (ANY / @mac)*
-arr = (expr ';' expr / expr (',' expr)* ','?)?
+arr = (expr ';' expr / attr* expr (',' attr* expr)* ','?)?
 tarr = type (';' expr)?
 slitf = attr* (ID / NUM) (':' expr)?
 slit = (slitf (',' slitf)* ','?)? ('..' expr)?
@@ -457,7 +469,7 @@ items = iitem*
 fpat = attr* ('..' / (ID / NUM) ':' pat / 'ref'? 'mut'? ID)
 fpats = (fpat (',' fpat)* ','?)?
 arms = ('#' '!' @mac)* arm*
-top = item / mac ';'? / ';'
+top = item / attr* mac ';'? / ';'
 file = ('#' '!' @mac)* top*
 """
 RUST = Grammar(_RUST, RUST_LEXER.tokens, {
@@ -486,10 +498,13 @@ def _class(tokens: dict[str, str], names: str) -> str:
 _go = GO_LEXER.tokens
 _GO_END = re.compile("(?<=" + _class(_go, "ID NUM STR TPL break continue fallthrough return ++ -- ) ] }") + ")" + _go["NL"])
 _js = SCRIPT_LEXER.tokens
+#: Words that go on with the statement of the line before, unless they are names there.
+_JOINING = ("of", "as", "catch", "finally", "extends", "implements", "from", "satisfies", "is")
 _JS_END = re.compile(
-    "(?<=" + _class(_js, f"ID NUM STR TPL ) ] }} this super ++ -- return break continue debugger {_SOFT}") + ")" + _js["NL"]
-    + "(?=" + _class(_js, "ID NUM STR ! ~ ++ -- @ " + " ".join(
-        w for w in f"{_SOFT} {_HARD}".split() if w not in ("in instanceof of as catch finally extends implements from satisfies is".split()))) + ")"
+    "(?:(?<=" + _class(_js, f"ID NUM STR TPL > void ) ] }} this super ++ -- return break continue debugger {_SOFT}") + r")|(?<=" + re.escape(_js["."]) + _class(_js, _HARD) + "))" + _js["NL"]
+    + "(?=" + _js["NL"] + "*(?:" + _class(_js, "ID TYPE NUM STR [ ! ~ ++ -- @ " + " ".join(
+        w for w in f"{_SOFT} {_HARD}".split() if w not in ("in", "instanceof", *_JOINING)))
+    + "|" + _class(_js, " ".join(_JOINING)) + _class(_js, "= . ( [ ; ++ -- :") + ")" + ")"
 )
 
 

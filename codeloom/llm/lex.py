@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from itertools import count
 
-#: Newline characters of Python carry the width of the indentation that follows.
-INDENT_BASE = 0x3000
+#: Newline characters of Python carry the width of the indentation that follows, up to ``INDENT_MOST`` columns.
+INDENT_BASE, INDENT_MOST = 0x3000, 0xA7FF
+#: Combining marks, which may follow in a name but are no word characters of a regular expression.
+_MARKS = "".join(c for c in map(chr, [*range(0x300, 0xFFFF), *range(0xE0100, 0xE01F0)]) if unicodedata.category(c) in ("Mn", "Mc"))
 
 
 class Lexer:
     """One regular expression per language; ``classes`` maps each distinct token text to its character."""
 
-    def __init__(self, skip: str, tokens: list[str], keywords: str, operators: str, letters: str = "", newline: str = ""):
+    def __init__(self, skip: str, tokens: list[str], keywords: str, operators: str, letters: str = "", newline: str = "", marks: bool = True, dotted: bool = True):
         ops = operators.split()
         by_length = sorted((o for o in ops if o not in "()[]{}"), key=len, reverse=True)
-        word = rf"(?:[^\W\d]|[{letters}])[\w{letters}]*" if letters else r"[^\W\d]\w*"
-        number = r"0[xXbBoO][\da-fA-F_]+\w*|(?:\d[\d_]*(?:\.(?![._a-zA-Z])[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?\w*"
+        word = rf"(?:[^\W\d]|[{letters}])[\w{letters}]*+" if letters else r"[^\W\d]\w*+"
+        if marks:
+            word += rf"(?:[{_MARKS}][\w{letters}{_MARKS}]*+)?"
+        number = rf"0[xXbBoO][\da-fA-F_]+\w*|(?:\d[\d_]*(?:\.(?![._a-zA-Z])[\d_]*)?{r'|\.\d[\d_]*' if dotted else ''})(?:[eE][+-]?\d[\d_]*)?\w*"
         parts = [*tokens, word, number, r"[()\[\]{}]", "|".join(map(re.escape, by_length)), r"[^\s]"]
         if newline:
             parts.insert(0, newline)
@@ -24,7 +29,7 @@ class Lexer:
         self.newline = bool(newline)
         ids = count(0x100)
         self.tokens = {c: c for c in "()[]{}"}  # a template or raw string in back quotes is TPL
-        for kind in ("ID", "NUM", "STR", "TPL", "NL", "ASI", "ERR", "LIFE"):
+        for kind in ("ID", "NUM", "STR", "TPL", "NL", "ASI", "ERR", "LIFE", "TYPE"):
             self.tokens[kind] = chr(next(ids))
         for text in [*keywords.split(), *ops]:
             if text not in self.tokens:
@@ -45,6 +50,8 @@ class Lexer:
             char = self.tokens["NUM"]
         elif first == "/" and len(token) > 2:
             char = self.tokens["STR"]
+        elif first.isalpha() and token[-1].isspace():  # a word that is a keyword before what follows it
+            char = self.tokens["TYPE"]
         elif first.isalpha() or first in "_$#" and len(token) > 1 or first in "_$":
             char = self.tokens["ID"]
         else:
@@ -69,12 +76,17 @@ class Lexer:
         return "".join(chars), at
 
 
+_BAD_NUMBER = re.compile(r"0[\d_]*[1-9][\d_]*")
+
+
 class PythonLexer(Lexer):
     def classify(self, token: str) -> str:
         if token[0] == "\n":
             last = token[token.rfind("\n") + 1 :]
             width = len(last.expandtabs(8))
-            char = chr(INDENT_BASE + min(width, 0x3FF))
+            char = chr(INDENT_BASE + min(width, INDENT_MOST))
             self.classes[token] = char
             return char
+        if _BAD_NUMBER.fullmatch(token):
+            return self.tokens["ERR"]
         return super().classify(token)

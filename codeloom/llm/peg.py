@@ -18,21 +18,21 @@ from __future__ import annotations
 import re
 import sys
 
-#: Calls that one level of type arguments takes at most.
-DEEP = 100
-#: Long runs of one list item, as in data tables, count as three.
-_RUNS = re.compile(r"(.{1,8}?,)\1{3,}", re.S)
+#: Calls that one level of type arguments or of statements without braces takes at most, and the tokens that begin one.
+DEEP, NESTING = 100, ("<", "if", "for", "while", "lambda", "?", "extends", ":", "=>")
 _LEX = re.compile(r"\s*(?:'((?:[^'\\]|\\.)+)'|(@\w+)|([A-Za-z_]\w*)|([()/*+?!&|]))")
 
+#: Stands for the end of a text in a memo key; no token has it.
+FINISH = "\0"
 #: First code point of the group characters of each bracket; the role mask is added to it.
 GROUP_BASE = {"(": 0xE000, "[": 0xE200, "{": 0xE400, "<": 0xE800}
 
 
 class Grammar:
-    """tokens: text or kind -> character; roles: bracket -> {role: rule}; start: rule of a whole text."""
+    """tokens: text or kind -> character; roles: bracket -> {role: rule}; start: rule of a whole text; covers: role -> roles that serve wherever it does."""
 
-    def __init__(self, rules: str, tokens: dict[str, str], roles: dict[str, dict[str, str]], start: str, ends: str = ";"):
-        self.tokens, self.start = tokens, start
+    def __init__(self, rules: str, tokens: dict[str, str], roles: dict[str, dict[str, str]], start: str, ends: str = ";", covers: dict[str, tuple[str, ...]] | None = None):
+        self.tokens, self.start, self.covers = tokens, start, covers or {}
         self.rules: dict[str, tuple] = {}
         for line in re.split(r"\n(?=\w+ +=)", rules.strip()):
             name, body = line.split("=", 1)
@@ -131,7 +131,7 @@ class Grammar:
         memo: dict[tuple, int] = {}
         far, high, size, first = 0, 0, len(text), self._first
         tokens, roles, rules = self.tokens, self.role_chars, self.rules
-        depth = 1000 + DEEP * text.count(tokens.get("<", "\0"))
+        depth = 1000 + DEEP * sum(text.count(tokens.get(t, FINISH)) for t in NESTING)
         if depth > sys.getrecursionlimit():
             sys.setrecursionlimit(depth)
 
@@ -196,17 +196,16 @@ class Grammar:
 
         A rule ending in a repeated item (statements, members, arms) is walked item by item:
         an item whose text up to a boundary, and one character more, was seen before is not
-        parsed again.
+        parsed again. At the end of the text that character is ``FINISH``: a shape that ends a
+        text says nothing of the same shape with more behind it.
         """
-        if len(text) > 60:
-            text = _RUNS.sub(r"\1\1\1", text)
         node = self.rules[rule]
         run, _, looked = self._parser(text)
         parts = node[1:] if node[0] == " " else (node,)
         last = parts[-1]
         if last[0] not in "*+" or last[1][0] != "r":
             return run(node, 0) == len(text)
-        at, item, seen, size = 0, last[1], self.items, len(text)
+        at, item, seen, size, padded = 0, last[1], self.items, len(text), text + FINISH
         for part in parts[:-1]:
             at = run(part, at)
             if at < 0:
@@ -223,7 +222,7 @@ class Grammar:
                 k += 1
             j = k
             while j < len(ends):
-                step = seen.get((name, text[at : ends[j] + 1]))
+                step = seen.get((name, padded[at : ends[j] + 1]))
                 if step is None or step > 0:
                     break
                 j += 1
@@ -238,9 +237,9 @@ class Grammar:
                 for e in ends[k:]:
                     if e >= end:
                         if e == end and looked() <= end:  # else it depends on more than its key
-                            seen[name, text[at : e + 1]] = end - at
+                            seen[name, padded[at : e + 1]] = end - at
                         break
-                    seen[name, text[at : e + 1]] = 0
+                    seen[name, padded[at : e + 1]] = 0
                 at = end
             else:
                 at += step
@@ -251,10 +250,12 @@ class Grammar:
         char = self.memo.get(text)
         if char is None:
             bracket, close, inner = text[0], text[-1], text[1:-1]
-            mask = 0
+            mask, has = 0, set()
             if bracket + close in ("()", "[]", "{}", "<>"):
-                for bit, (_, rule) in enumerate(self.roles.get(bracket, ())):
-                    mask |= self.matches(rule, inner) << bit
+                for bit, (role, rule) in enumerate(self.roles.get(bracket, ())):
+                    if has.isdisjoint(self.covers.get(role, ())) and self.matches(rule, inner):
+                        mask |= 1 << bit
+                        has.add(role)
             if len(self.memo) > 400_000:
                 self.memo.clear()
             char = self.memo[text] = chr(GROUP_BASE.get(bracket, 0xE000) + mask)

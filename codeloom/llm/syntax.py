@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from ..session import busy_partitions
 from ..tables import current_rows
+from .formats import FORMATTED, plain_formats, plain_script
 from .grammars import BY_EXTENSION, PYTHON, PYTHON_LEXER, separators
-from .lex import INDENT_BASE
+from .lex import INDENT_BASE, INDENT_MOST, Lexer
 from .peg import GROUP_BASE, Grammar
 
 _INNER = re.compile(r"[(\[{][^()\[\]{}]*+[)\]}]")
 _LINE_ENDS = re.compile(r"\r\n?")
-_INDENTS = re.compile(f"[{chr(INDENT_BASE)}-{chr(INDENT_BASE + 0x3FF)}]")
-_LINES = re.compile(f"([{chr(INDENT_BASE)}-{chr(INDENT_BASE + 0x3FF)}])([^{chr(INDENT_BASE)}-{chr(INDENT_BASE + 0x3FF)}]*+)")
+_INDENT = f"{chr(INDENT_BASE)}-{chr(INDENT_BASE + INDENT_MOST)}"
+_INDENTS = re.compile(f"[{_INDENT}]")
+_LINES = re.compile(f"([{_INDENT}])([^{_INDENT}]*+)")
 _MARKER = re.compile(r"(?m)^(?:<{7}|={7}|>{7}|\|{7})(?:\s|$)")
 _CLOSERS = {")": "(", "]": "[", "}": "{"}
 
@@ -73,6 +75,16 @@ def _layout(chars: str) -> str | None:
     return "".join(open_[0])
 
 
+def _python(text: str) -> bool:
+    chars = _layout(_reduce(PYTHON, PYTHON_LEXER.encode(f"\n{text}\n"), True))
+    return chars is not None and PYTHON.accepts(chars)
+
+
+def _other(text: str, language: str, lexer: Lexer, grammar: Grammar) -> bool:
+    chars, drop = separators(language, lexer.encode(text))
+    return grammar.accepts(_reduce(grammar, chars.replace(drop, "") if drop else chars, False))
+
+
 def parses(text: str, extension: str) -> bool | None:
     """True if the whole text is syntactically valid for the extension's language (None: no grammar)."""
     if extension not in BY_EXTENSION:
@@ -82,12 +94,12 @@ def parses(text: str, extension: str) -> bool | None:
     if not text or text.isspace():
         return True
     if language == "python":
-        chars = _layout(_reduce(grammar, lexer.encode(f"\n{text}\n"), True))
-        return chars is not None and grammar.accepts(chars)
+        return _python(text) or FORMATTED.search(text) is not None and _python(plain_formats(text))
     if language in ("typescript", "javascript") and text.startswith("#!"):
         text = text[text.find("\n") :] if "\n" in text else ""
-    chars, drop = separators(language, lexer.encode(text))
-    return grammar.accepts(_reduce(grammar, chars.replace(drop, "") if drop else chars, False))
+    if _other(text, language, lexer, grammar):
+        return True
+    return language in ("typescript", "javascript") and ("`" in text or "/" in text) and _other(plain_script(text), language, lexer, grammar)
 
 
 def _furthest(grammar: Grammar, rules: list[str], items: list[tuple[str, int]], end: int) -> int:
@@ -104,7 +116,9 @@ def first_failure(text: str, extension: str) -> tuple[int, int, str]:
     language, lexer, grammar = BY_EXTENSION[extension]
     text = _clean(text)
     python = language == "python"
-    source = f"\n{text}\n" if python else text
+    source = f"\n{plain_formats(text)}\n" if python else text
+    if language in ("typescript", "javascript"):
+        source = plain_script(text)
     shift = 1 if python else 0
     chars, offsets = lexer.positions(source)
     chars, drop = separators(language, chars)

@@ -95,3 +95,66 @@ def test_generics_of_any_depth(ext, form, levels):
     assert syntax.parses(form.format("A<" * levels + "B" + ">" * levels), ext)
     assert syntax.parses(form.format("A<" * levels + "B" + ">" * (levels + 1)), ext) is False
     assert syntax.parses(form.format("A<" * levels + "B" + ">" * (levels - 1)), ext) is False
+
+
+def _library():
+    import os
+    import pathlib
+    import tokenize
+
+    out = []
+    for path in sorted(pathlib.Path(os.__file__).parent.glob("[a-z]*.py")):
+        with tokenize.open(path) as file:
+            text = file.read()
+        try:
+            compile(text, str(path), "exec")
+        except SyntaxError:
+            continue
+        out.append((path.name, text))
+    return out
+
+
+def test_standard_library_in_any_order():
+    import random
+
+    texts = _library()
+    assert len(texts) > 100
+    for seed in (1, 2):
+        random.Random(seed).shuffle(texts)
+        texts = texts[:90]
+        assert [name for name, text in texts if not syntax.parses(text, "py")] == []
+    for name, text in texts[:40]:
+        grammars.PYTHON.memo.clear(), grammars.PYTHON.items.clear()
+        assert syntax.parses(text, "py"), name
+        lines = text.rstrip().split("\n")
+        cut = "\n".join(lines[: len(lines) // 2]) + "\n(\n" + "\n".join(lines[len(lines) // 2 :])
+        try:
+            compile(cut, name, "exec")
+        except SyntaxError:
+            assert syntax.parses(cut, "py") is False, name
+
+
+@pytest.mark.parametrize(("ext", "text", "valid"), [
+    ("py", "if a:\n    if b:\n        pass\nif a:\n    b()\nelse:\n    c()\n", True),
+    ("py", "def f():\n    if a: pass\ndef g():\n    if a: pass\n    else: pass\n", True),
+    ("py", "try:\n    try: pass\n    except A: pass\nexcept B: pass\nelse: pass\n", True),
+    ("py", "x = f\"{a[\"b\"]:{w}.{p}} {{}} {d!r}\"\ny = f'{f'{f'{1}'}'}'\n", True),
+    ("py", "type X[T] = int\ntype = 3\nx = type (1)\n", True),
+    ("py", "match x:\n    case {0: (0 | 1 as z)}:\n        pass\n    case A(b=1, c=[x, *_]) as d: pass\n    case -1, None if q: pass\n", True),
+    ("py", "f(a, *b, c=1, *d, **e, f=2)\nf().x[1] = 2\n", True),
+    ("py", "f(a=1, 2)\n", False), ("py", "1 = x\n", False), ("py", "f() = 1\n", False), ("py", "x = 08\n", False), ("py", "x = (a as b)\n", False),
+    ("py", "if a:\n" + " " * 2000 + "x\n" + " " * 1500 + "y\n", False),
+    ("js", "x = f ? a ? 2 ? 5 : 2 : 3 : m\n", True), ("js", "if (a) for (;;) if (b) c; else d; else e\n", True), ("js", "e >>>= 8, f >>= 1\n", True),
+    ("js", "a = {}\n// note\nb = c\n  && /x`/.test(d)\n// more\nfrom = 1\nx = `a ${b ? `c ${{ d: `e` }.d}` : f}`\n", True),
+    ("js", "const a;\n", False), ("js", "if (a) b; else c; else d\n", False), ("js", "x = `a ${b\n", False),
+    ("ts", "import a = require('b')\nexport = a\n", True), ("ts", "type A = <V>() => V extends B ? 1 : 2\ntype C<out T = D extends E ? 1 : 2> = T extends infer U extends F ? U : never\n", True),
+    ("ts", "interface A {\n  b(): Promise<void>\n  c: void\n  /** d */\n  (e: number): f\n  [g]: h\n}\n", True), ("ts", "@a<B>(c => 1)\nexport abstract class D { accessor e = 1 }\nasync function f() { using g = h() }\n", True),
+    ("java", "class A { void f() { if (a) for (;;) if (b) c(); else d(); else e(); x >>>= 2; int y = a ? b ? c ? 1 : 2 : 3 : 4; } }", True),
+    ("rs", "fn f() -> u8 { a.0.b += x as u8 + self.1; if 1 != unsafe { g() } { } for i in 0.. { } &raw mut c; let d = &e[..crate::F]; }\n", True),
+    ("rs", "union U { a: u8 }\ntype A<'a> = B<<C as D>::E<'a>, <<F as G>::H as I>::J> where K: L;\nfn m(r#type: u8) { #[cfg(x)] { } #[a] unsafe { } 1 << 2; n <<= 3; }\n", True),
+    ("rs", "fn f() { a. }\n", False), ("rs", "union U { a u8 }\n", False),
+])
+def test_forms(ext, text, valid):
+    for shapes in (grammars.BY_EXTENSION[ext][2].memo, grammars.BY_EXTENSION[ext][2].items):
+        shapes.clear()
+    assert syntax.parses(text, ext) is valid
