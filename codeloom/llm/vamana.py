@@ -1,161 +1,166 @@
 """A robust-pruned directed graph over one shard of unit vectors, in numpy.
 
-Vectors enter in growing batches. For each, a greedy beam search over the graph so far proposes
-neighbours; pruning keeps a near one and drops those that are closer, by the factor ``alpha``, to
-one already kept, so edges stay diverse; reverse edges are added and pruned alike. A search
-walks the graph with a beam of ``width`` candidates, many queries at a time.
-
-Within a shard, whose size is bounded, similarities come from a table made by one matrix product.
+A drawn sample of entry nodes, about ``ENTRIES`` times the root of the shard's size, is linked
+first; the others enter in growing batches. For each, a greedy beam search from its nearest
+entries proposes neighbours; pruning keeps a near one and drops those that are closer, by the
+factor ``alpha``, to one already kept, so edges stay diverse; reverse edges are added and pruned
+alike. A search walks the graph with a beam of ``width`` candidates, many queries at a time.
+
+Similarities are computed only to entries and to nodes that a walk meets; ``Graph.evaluations``
+counts them (it grows like the power 1.5 of the size, from the entries; the rest is linear).
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-DEGREE, WIDTH, ALPHA, SEEDS = 16, 24, 1.2, 32
-#: Candidates that each inserted vector keeps of its beam.
-KEPT = 12
-
-
-def _beam(sims_of, links: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, similarities) of the best ``width`` nodes met per query, best first; -1 where fewer were met.
-
-    sims_of(rows, nodes) gives similarities of query rows to a matrix of nodes.
-    """
-    queries = starts.shape[0]
-    rows = np.arange(queries)
-    ids = np.full((queries, width), -1, np.int32)
-    sims = np.full((queries, width), -2.0, np.float32)
-    open_ = np.zeros((queries, width), bool)
-    first = min(width, starts.shape[1])
-    found = sims_of(rows, starts)
-    order = np.argsort(-found, axis=1, kind="stable")[:, :first]
-    ids[:, :first] = np.take_along_axis(starts, order, 1)
-    sims[:, :first] = np.take_along_axis(found, order, 1)
-    open_[:, :first] = ids[:, :first] >= 0
-    sims[:, :first][ids[:, :first] < 0] = -2.0
-    active = rows
-    while active.size:
-        slot = np.argmax(open_[active], axis=1)  # beams are kept sorted: the first open one is the best
-        live = open_[active, slot]
-        active, slot = active[live], slot[live]
-        if not active.size:
-            break
-        open_[active, slot] = False
-        near = links[ids[active, slot]]
-        known = (near[:, :, None] == ids[active][:, None, :]).any(2) | (near < 0)
-        value = sims_of(active, near)
-        value[known] = -2.0
-        better = (value > sims[active, -1][:, None]).any(1)
-        if better.any():
-            at = active[better]
-            all_ids = np.concatenate([ids[at], near[better]], 1)
-            all_sims = np.concatenate([sims[at], value[better]], 1)
-            all_open = np.concatenate([open_[at], ~known[better]], 1)
+DEGREE, WIDTH, ALPHA, ENTRIES, STARTS = 16, 16, 1.2, 8.0, 8
+#: Queries walked at a time, which bounds the gathered vectors (under 20 MB).
+BLOCK = 2000
+
+
+def _ordered(sims: np.ndarray, count: int) -> np.ndarray:
+    """Columns of the ``count`` greatest of each row, greatest first."""
+    if count < sims.shape[1]:
+        some = np.argpartition(-sims, count - 1, axis=1)[:, :count]
+        return np.take_along_axis(some, np.argsort(-np.take_along_axis(sims, some, 1), axis=1, kind="stable"), 1)
+    return np.argsort(-sims, axis=1, kind="stable")
+
+
+class Graph:
+    """``vectors`` (unit, float32), ``links`` (neighbours of each, -1: none), ``entries``; ``evaluations`` counts similarities."""
+
+    def __init__(self, vectors: np.ndarray, links: np.ndarray | None = None, entries: np.ndarray | None = None, degree: int = DEGREE):
+        self.vectors, self.degree, self.evaluations = np.ascontiguousarray(vectors, np.float32), degree, 0
+        if links is not None:
+            self.links, self.entries = links, entries
+            return
+        n = len(vectors)
+        self.links = np.full((n, degree), -1, np.int32)
+        order = np.random.default_rng(5).permutation(n).astype(np.int32)
+        done = min(n, math.ceil(ENTRIES * math.sqrt(n)) + 1)
+        self.entries = order[:done]
+        if done > 1:
+            sims = self.vectors[self.entries] @ self.vectors[self.entries].T
+            self.evaluations += sims.size
+            np.fill_diagonal(sims, -3.0)
+            near = _ordered(sims, min(WIDTH, done - 1))
+            self._link(self.entries, self.entries[near], np.take_along_axis(sims, near, 1))
+        while done < n:
+            batch = order[done : done + max(64, done)]
+            ids, sims = self.search(self.vectors[batch], WIDTH, WIDTH)
+            self._link(batch, ids, sims)
+            done += len(batch)
+
+    def _similar(self, queries: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        self.evaluations += nodes.size
+        return np.einsum("qnd,qd->qn", self.vectors[nodes], queries)
+
+    def search(self, queries: np.ndarray, k: int, width: int = WIDTH, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, similarities) of the k best nodes met per query, best first; -1 where fewer were met.
+
+        starts: nodes per query from which to walk besides the nearest entries (-1: none).
+        """
+        width = max(width, k)
+        found = [self._walk(queries[at : at + BLOCK], width, None if starts is None else starts[at : at + BLOCK]) for at in range(0, len(queries), BLOCK)]
+        if not found:
+            return np.empty((0, k), np.int32), np.empty((0, k), np.float32)
+        return np.concatenate([ids[:, :k] for ids, _ in found]), np.concatenate([sims[:, :k] for _, sims in found])
+
+    def _walk(self, queries: np.ndarray, width: int, starts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.arange(len(queries))
+        near = queries @ self.vectors[self.entries].T
+        self.evaluations += near.size
+        best = _ordered(near, min(STARTS, near.shape[1]))
+        nodes, value = self.entries[best], np.take_along_axis(near, best, 1)
+        if starts is not None:
+            more = self._similar(queries, starts)
+            more[(starts < 0) | (starts[:, :, None] == nodes[:, None, :]).any(2)] = -2.0
+            nodes, value = np.concatenate([nodes, starts], 1), np.concatenate([value, more], 1)
+        ids = np.full((len(queries), width), -1, np.int32)
+        sims = np.full((len(queries), width), -2.0, np.float32)
+        order = _ordered(value, min(width, value.shape[1]))
+        ids[:, : order.shape[1]] = np.take_along_axis(nodes, order, 1)
+        sims[:, : order.shape[1]] = np.take_along_axis(value, order, 1)
+        open_ = sims > -2.0
+        active = rows
+        while active.size:
+            slot = np.argmax(open_[active], axis=1)  # beams are kept sorted: the first open one is the best
+            live = open_[active, slot]
+            active, slot = active[live], slot[live]
+            if not active.size:
+                break
+            open_[active, slot] = False
+            near = self.links[ids[active, slot]]
+            value = self._similar(queries[active], near)
+            value[(near < 0) | (value <= sims[active, -1][:, None])] = -2.0
+            better = (value > -2.0).any(1)
+            at, near, value = active[better], near[better], value[better]
+            value[(near[:, :, None] == ids[at][:, None, :]).any(2)] = -2.0
+            all_sims = np.concatenate([sims[at], value], 1)
             order = np.argsort(-all_sims, axis=1, kind="stable")[:, :width]
-            ids[at] = np.take_along_axis(all_ids, order, 1)
             sims[at] = np.take_along_axis(all_sims, order, 1)
-            open_[at] = np.take_along_axis(all_open, order, 1) & (sims[at] > -2.0)
-    ids[sims <= -2.0] = -1
-    return ids, sims
-
-
-def _prune(table: np.ndarray, nodes: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Diverse neighbours of each node among its candidates (-1: none), nearest first."""
-    base = table[nodes[:, None], candidates]
-    base = np.where((candidates < 0) | (candidates == nodes[:, None]), -2.0, base)
-    order = np.argsort(-base, axis=1, kind="stable")
-    candidates = np.take_along_axis(candidates, order, 1)
-    base = np.take_along_axis(base, order, 1)
-    again = np.zeros(base.shape, bool)
-    again[:, 1:] = (candidates[:, 1:] == candidates[:, :-1])
-    alive = (base > -2.0) & ~again
-    gap = np.sqrt(np.maximum(2 - 2 * base, 0))
-    out = np.full((nodes.size, degree), -1, np.int32)
-    rows = np.arange(nodes.size)
-    for k in range(degree):
-        pick = np.argmax(alive, axis=1)
-        has = alive[rows, pick]
-        if not has.any():
-            break
-        chosen = candidates[rows, pick]
-        out[has, k] = chosen[has]
-        between = np.sqrt(np.maximum(2 - 2 * table[chosen[:, None], candidates], 0))
-        alive &= alpha * between > gap
-        alive[rows, pick] = False
-    return out
-
-
-def build(vectors: np.ndarray, degree: int = DEGREE, width: int = WIDTH, alpha: float = ALPHA, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(links, seeds, met, table): neighbours of every vector, entry nodes, what its insertion search met (-1: none), all similarities."""
-    n = len(vectors)
-    table = vectors @ vectors.T
-    links = np.full((n, degree), -1, np.int32)
-    met = np.full((n, KEPT), -1, np.int32)
-    order = np.random.default_rng(seed).permutation(n).astype(np.int32)
-    seeds = order[: min(SEEDS, n)]
-    done = len(seeds)
-    others = np.array([[s for s in seeds if s != t] for t in seeds], np.int32).reshape(done, max(0, done - 1))
-    if done > 1:
-        ranked = np.take_along_axis(others, np.argsort(-table[seeds[:, None], others], axis=1, kind="stable"), 1)
-        met[seeds, : min(KEPT, done - 1)] = ranked[:, :KEPT]
-        links[seeds] = _prune(table, seeds, ranked, degree, alpha)
-    while done < n:
-        batch = order[done : done + max(32, done)]
-        starts = np.repeat(seeds[None, :], len(batch), 0)
-        ids, _ = _beam(lambda rows, nodes, batch=batch: table[batch[rows][:, None], nodes], links, starts, width)
-        met[batch] = ids[:, :KEPT]
-        links[batch] = _prune(table, batch, ids, degree, alpha)
-        _add_reverse(table, links, batch, degree, alpha)
-        done += len(batch)
-    return links, seeds, met, table
-
-
-def _add_reverse(table: np.ndarray, links: np.ndarray, batch: np.ndarray, degree: int, alpha: float) -> None:
-    sources = np.repeat(batch, degree)
-    targets = links[batch].ravel()
-    sources, targets = sources[targets >= 0], targets[targets >= 0]
-    nearest = np.lexsort((-table[targets, sources], targets))
-    sources, targets = sources[nearest], targets[nearest]
-    heads, first, counts = np.unique(targets, return_index=True, return_counts=True)
-    rank = np.arange(len(targets)) - np.repeat(first, counts)
-    kept = rank < 2 * degree
-    extra = np.full((len(heads), min(2 * degree, int(counts.max()) if len(counts) else 0)), -1, np.int32)
-    extra[np.repeat(np.arange(len(heads)), counts)[kept], rank[kept]] = sources[kept]
-    merged = np.concatenate([links[heads], extra], 1)
-    full = (merged >= 0).sum(1) > degree
-    if full.any():
-        links[heads[full]] = _prune(table, heads[full], merged[full], degree, alpha)
-    if (~full).any():
-        part = merged[~full]
-        links[heads[~full]] = np.take_along_axis(part, np.argsort(part < 0, axis=1, kind="stable"), 1)[:, :degree]
-
-
-def refine(table: np.ndarray, links: np.ndarray, met: np.ndarray, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of nodes that met: insertion beams, links, and a last beam search from every node's own links.
-
-    The last search finds what the insertion could not: vectors of the same batch.
-    """
-    n = len(links)
-    own = np.arange(n, dtype=np.int32)[:, None]
-    starts = np.concatenate([links, met[:, :4]], 1)[:, : max(1, width)]
-    again = (starts[:, :, None] == starts[:, None, :]) & (np.arange(starts.shape[1])[:, None] > np.arange(starts.shape[1])[None, :])[None]
-    starts = np.where(again.any(2) | (starts < 0), own, starts)
-    dup = (starts == own) & (np.cumsum(starts == own, axis=1) > 1)
-    ids, _ = _beam(lambda rows, nodes: np.where(nodes < 0, -2.0, table[rows[:, None], nodes]), links, np.where(dup, -1, starts).astype(np.int32), width)
-    near = np.concatenate([ids, met], 1)
-    a = np.repeat(np.arange(n), near.shape[1])
-    b = near.ravel()
-    keep = (b >= 0) & (a != b)
-    a, b = a[keep], b[keep]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    code = np.unique(low.astype(np.int64) * n + high)
-    return code // n, code % n
-
-
-def search(vectors: np.ndarray, links: np.ndarray, seeds: np.ndarray, queries: np.ndarray, k: int, width: int = 96) -> tuple[np.ndarray, np.ndarray]:
-    """k nearest nodes of outside queries by beam search."""
-    starts = np.repeat(seeds[None, :], len(queries), 0)
-    product = queries @ vectors.T
-    ids, sims = _beam(lambda rows, nodes: product[rows[:, None], nodes], links, starts, width)
-    return ids[:, :k], sims[:, :k]
+            ids[at] = np.take_along_axis(np.concatenate([ids[at], near], 1), order, 1)
+            open_[at] = np.take_along_axis(np.concatenate([open_[at], value > -2.0], 1), order, 1)
+        ids[sims <= -2.0] = -1
+        return ids, sims
+
+    def _prune(self, nodes: np.ndarray, candidates: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Diverse neighbours of each node among its candidates (-1: none) with their similarities, nearest first."""
+        out = np.full((len(nodes), self.degree), -1, np.int32)
+        for at in range(0, len(nodes), BLOCK):
+            some = slice(at, at + BLOCK)
+            order = np.argsort(-base[some], axis=1, kind="stable")
+            near, sims = np.take_along_axis(candidates[some], order, 1), np.take_along_axis(base[some], order, 1)
+            alive = (near >= 0) & (near != nodes[some, None])
+            alive[:, 1:] &= near[:, 1:] != near[:, :-1]
+            alive &= sims > -2.0
+            held = self.vectors[near]
+            between = held @ held.transpose(0, 2, 1)
+            self.evaluations += between.size // 2
+            # alpha * distance to the kept one > distance to the node, in squares of unit vectors
+            limit = 1.0 - (1.0 - sims) / (ALPHA * ALPHA)
+            rows = np.arange(len(near))
+            for k in range(self.degree):
+                pick = np.argmax(alive, axis=1)
+                has = alive[rows, pick]
+                if not has.any():
+                    break
+                out[at + rows[has], k] = near[rows[has], pick[has]]
+                alive &= between[rows, pick] < limit
+                alive[rows, pick] = False
+        return out
+
+    def _link(self, batch: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
+        self.links[batch] = self._prune(batch, ids, sims)
+        targets = self.links[batch].ravel()
+        sources = np.repeat(batch, self.degree)[targets >= 0]
+        targets = targets[targets >= 0]
+        if not len(targets):
+            return
+        order = np.argsort(targets, kind="stable")
+        sources, targets = sources[order], targets[order]
+        heads, first, counts = np.unique(targets, return_index=True, return_counts=True)
+        rank = np.arange(len(targets)) - np.repeat(first, counts)
+        kept = rank < 2 * self.degree
+        extra = np.full((len(heads), min(2 * self.degree, int(counts.max()))), -1, np.int32)
+        extra[np.repeat(np.arange(len(heads)), counts)[kept], rank[kept]] = sources[kept]
+        merged = np.concatenate([self.links[heads], extra], 1)
+        merged = np.take_along_axis(merged, np.argsort(merged < 0, axis=1, kind="stable"), 1)
+        full = (merged >= 0).sum(1) > self.degree
+        if full.any():
+            some = merged[full]
+            base = self._similar(self.vectors[heads[full]], some)
+            base[some < 0] = -2.0
+            self.links[heads[full]] = self._prune(heads[full], some, base)
+        self.links[heads[~full]] = merged[~full][:, : self.degree]
+
+    def neighbours(self, k: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, similarities) of the k best others met per node: a last search, from its links, meets nodes of its own batch."""
+        ids, sims = self.search(self.vectors, k + 1, width, self.links)
+        sims[ids == np.arange(len(ids))[:, None]] = -2.0
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        return np.where(sims > -2.0, ids, -1), sims

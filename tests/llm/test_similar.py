@@ -70,22 +70,56 @@ def test_search_recall(spark):
 def test_graph_of_any_size(n):
     units = np.random.default_rng(n).normal(size=(n, 8)).astype(np.float32)
     units /= np.linalg.norm(units, axis=1)[:, None]
-    links, seeds, met, table = vamana.build(units)
-    assert links.shape == (n, vamana.DEGREE) and links.max() < n and (links != np.arange(n)[:, None]).all()
-    a, b = vamana.refine(table, links, met)
-    assert (a < b).all() and len(seeds) == min(n, vamana.SEEDS)
+    graph = vamana.Graph(units)
+    assert graph.links.shape == (n, vamana.DEGREE) and graph.links.max() < n and (graph.links != np.arange(n)[:, None]).all()
+    a, b = similar._graph_pairs(units, 6)
+    assert (a < b).all() and b.max(initial=0) < n
 
 
-def test_large_shard_is_cut(monkeypatch):
-    monkeypatch.setattr(similar, "MAX_GRAPH", 60)
+def test_graph_computes_similarities_only_to_nodes_it_meets():
+    units = np.random.default_rng(1).normal(size=(16_000, 24)).astype(np.float32)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    small, large = vamana.Graph(units[:4000]), vamana.Graph(units)
+    for graph in (small, large):
+        graph.neighbours(5)
+    assert large.evaluations < 0.3 * 16_000**2 and large.evaluations < 8.5 * small.evaluations  # 4 ** 1.5 = 8, all pairs: 16
+
+
+def met_pairs(units, k=5):
+    met = set(zip(*(x.tolist() for x in similar._graph_pairs(units, k))))
+    return met | {(b, a) for a, b in met}
+
+
+def test_near_pairs_of_a_shard_meet():
     units = clustered(5, 40, 5)
     units /= np.linalg.norm(units, axis=1)[:, None]
-    a, b = similar._graph_pairs(units)
-    met = set(zip(a.tolist(), b.tolist()))
+    met = met_pairs(units)
     wanted = [(i, j) for i in range(200) for j in range(i + 1, 200) if units[i] @ units[j] > 0.9]
     assert sum(p in met for p in wanted) >= 0.95 * len(wanted)
 
 
+def test_factors_of_two_are_copies_and_k_is_free(spark):
+    base = np.random.default_rng(3).normal(size=16).astype(np.float32)
+    links = similar.similar_vectors(frame(spark, [base * 2.0 ** (i % 7 - 3) for i in range(40)]), 9, 0.9, 16).collect()
+    per = {}
+    for r in links:
+        per.setdefault(r["id"], []).append(r["other"])
+    assert len(per) == 40 and all(len(v) == 9 for v in per.values()) and sorted(per["v0030"]) == [f"v{i:04d}" for i in range(9)]
+    index = similar.build_index(frame(spark, [base]), 16)
+    with pytest.raises(ValueError):
+        similar.search_index(index, frame(spark, [base]), 9, 16)
+
+
+def test_pivot_tree_meets_the_nearest():
+    rng = np.random.default_rng(2)
+    pivots = similar._unit(np.repeat(rng.normal(size=(60, 16)), 20, 0) + 0.4 * rng.normal(size=(1200, 16)))
+    pivots = pivots[rng.permutation(1200)]
+    rows, found, _ = similar.PivotTree(pivots).ranked(pivots[:200] + np.float32(0.01))
+    first = np.searchsorted(rows, np.arange(200))
+    best = np.argmax((pivots[:200] + np.float32(0.01)) @ pivots.T, axis=1)
+    assert (found[first] == best).mean() >= 0.98 and len(rows) < 0.5 * 200 * 1200
+
+
 def dense_cloud(n, rest, dim=96, cosine=0.95, seed=4):
     """n distinct vectors of that cosine to each other, and ``rest`` lone ones."""
     rng = np.random.default_rng(seed)
@@ -116,14 +150,11 @@ def test_all_neighbours_of_lone_vectors(spark, tmp_path):
     assert len(got & want) >= 0.95 * len(want)
 
 
-def test_shard_that_pivots_cannot_cut(monkeypatch):
-    monkeypatch.setattr(similar, "MAX_GRAPH", 60)
-    monkeypatch.setattr(similar, "_nearest_pivots", lambda units, pivots, copies: np.tile(np.arange(0, 2 * copies, 2), (len(units), 1)))
+def test_nearest_of_a_small_shard_meet():
     units = clustered(5, 20, 5)
     units /= np.linalg.norm(units, axis=1)[:, None]
     units = units[np.random.default_rng(2).permutation(len(units))]
-    met = set(zip(*(x.tolist() for x in similar._graph_pairs(units))))
-    met |= {(b, a) for a, b in met}
+    met = met_pairs(units)
     table = units @ units.T
     np.fill_diagonal(table, -2)
     assert all((i, int(j)) in met for i, row in enumerate(table) for j in np.argsort(-row)[:4])
