@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.store import upsert_latest
+from .buckets import BucketStore
 
 
 def debounce(events: DataFrame, key: str, at: str, quiet: str = "300 milliseconds", late: str = "1 minute") -> DataFrame:
@@ -44,22 +45,29 @@ def windowed_counts(events: DataFrame, at: str, by: str, width: str, late: str =
 
 
 class IncrementalTable:
-    """foreachBatch target: keeps the latest row per key in Parquet, in two alternating folders.
+    """foreachBatch target: keeps the latest row per key in hash buckets of a shared folder.
 
-    A batch that brings ``degrade_at`` keys or more calls ``degraded`` once (a full rescan is
-    cheaper then). A replayed batch leaves the same rows, so recovery after a failure is safe.
+    A batch rewrites only the buckets it touches, in one commit, and what holds is read from the
+    folder: a replayed batch, one that failed half-way and a new process leave the same rows. A
+    row whose ``deleted`` column is true deletes its key; it stays as a mark, so an older version
+    that comes late does not bring the key back. A batch that brings ``degrade_at`` keys or more
+    calls ``degraded`` once (a full rescan is cheaper then).
     """
 
-    def __init__(self, path: str, keys: list[str], version: str, degrade_at: int = 1000, degraded: Callable[[int], None] | None = None):
+    def __init__(self, path: str, keys: list[str], version: str, degrade_at: int = 1000, degraded: Callable[[int], None] | None = None, deleted: str | None = None, buckets: int = 64):
         self.path, self.keys, self.version = path.rstrip("/"), keys, version
-        self.degrade_at, self.degraded = degrade_at, degraded
-        self.generation = -1
-
-    def _folder(self, generation: int) -> str:
-        return f"{self.path}/generation={generation % 2}"
+        self.degrade_at, self.degraded, self.deleted = degrade_at, degraded, deleted
+        self.store = BucketStore(self.path, {"rows": ("", keys)}, buckets)
 
     def read(self, spark) -> DataFrame | None:
-        return spark.read.parquet(self._folder(self.generation)) if self.generation >= 0 else None
+        """The rows that hold, without deleted ones; None before the first batch."""
+        if not self.store.tables["rows"][0]:
+            schema = self.store.stored_schema(spark, "rows")
+            if schema is None:
+                return None
+            self.store.tables["rows"] = (schema, self.keys)
+        rows = self.store.read(spark, "rows")
+        return rows if self.deleted is None else rows.where(F.coalesce(F.col(self.deleted), F.lit(False)) == F.lit(False))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -67,7 +75,7 @@ class IncrementalTable:
             changed = batch.select(*self.keys).distinct().count()
             if changed >= self.degrade_at:
                 self.degraded(changed)
-        old = self.read(spark)
-        rows = batch if old is None else old.unionByName(batch)
-        upsert_latest(rows, self.keys, self.version).write.mode("overwrite").parquet(self._folder(self.generation + 1))
-        self.generation += 1
+        self.store.tables["rows"] = (self.store.stored_schema(spark, "rows") or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema.fields), self.keys)
+        touched = self.store.touched("rows", batch)
+        old = self.store.read(spark, "rows", touched)
+        self.store.replace(spark, {"rows": (upsert_latest(old.unionByName(batch), self.keys, self.version), touched)}, batch_id)

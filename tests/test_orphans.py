@@ -44,3 +44,34 @@ def test_signed_counts_follow_deltas(spark):
     assert state == {"x": (1, 1), "y": (1, 0)}
     back = first.select("kind", "target", (-first.refs).alias("refs"), (-first.found).alias("found"), "found_since", "ref_since")
     assert {(r["refs"], r["found"]) for r in O.merge_counts(first, back).collect()} == {(0, 0)}
+
+
+def test_ledger_equals_full_recompute_in_any_order(spark, rows, tmp_path):
+    import random
+
+    calls = [
+        (1, "a.m", "a.gone", T[5], "k"), (1, "a.m", "a.b", T[6], "k"), (2, "a.b", "a.late", T[3], "k"), (3, "a.m", "a.m", None, "k"), (4, "x", "a.moved", T[2], "k"), (5, "a.two", "a.two", T[7], "k"),
+    ]
+    classes = [(1, "A", ["B"], T[1], None, 1), (1, "A", ["C"], T[4], None, 1), (2, "B", None, T[8], None, 1), (3, "C", ["A"], T[2], None, 1), (3, "C", ["A"], T[9], T[9], 1)]
+    methods = [
+        (1, 1, "a.m", T[1], None, ""), (2, 3, "a.late", T[5], None, ""), (3, 1, "a.moved", T[1], None, ""), (3, 1, "a.elsewhere", T[6], None, ""), (4, 7, "a.b", T[2], None, ""),
+        (5, 1, "a.two", T[1], None, ""), (5, 1, "a.two", T[8], T[8], ""), (6, 1, "a.two", T[9], None, ""),
+    ]
+    external = frames(spark)[3]
+    want = rows(O.orphan_references(*frames(spark, calls, classes, methods)))
+    assert len(want) >= 5
+    deliveries = [("c", r) for r in calls] + [("k", r) for r in classes] + [("m", r) for r in methods]
+    for seed in (1,):
+        random.Random(seed).shuffle(deliveries)
+        for at in range(0, len(deliveries), 9):
+            part = deliveries[at : at + 9]
+            batch = frames(spark, *([r for t, r in part if t == kind] for kind in "ckm"))[:3]
+            O.OrphanLedger(str(tmp_path / str(seed)), 4).apply(*batch, at)  # a new process each time
+        O.OrphanLedger(str(tmp_path / str(seed)), 4).apply(*batch, at)  # and the last delivery once more
+        ledger = O.OrphanLedger(str(tmp_path / str(seed)), 4)
+        assert rows(ledger.orphans(spark, external)) == want
+        full = O.ledger(*O.references(*frames(spark, calls, classes, methods)[:3]))
+        state = ledger.store.read(spark, "counts")
+        columns = ["kind", "target", "refs", "found", "cast(found_since as string)"]
+        assert rows(state.selectExpr(*columns)) == rows(full.selectExpr(*columns))
+        assert ledger.store.last_batch(spark) == at

@@ -108,6 +108,23 @@ def test_streaming_upsert(spark, tmp_path, rows):
     assert seen == [2]
 
 
+def test_table_survives_a_restart_and_deletes(spark, tmp_path, rows):
+    schema = "id int, v string, t int, gone boolean"
+
+    def sink():
+        return changes.IncrementalTable(str(tmp_path / "out"), ["id"], "t", deleted="gone", buckets=4)
+
+    assert sink().read(spark) is None
+    sink()(spark.createDataFrame([(1, "a", 1, None), (2, "b", 1, False)], schema), 0)
+    sink()(spark.createDataFrame([(3, "c", 1, False)], schema), 1)
+    assert rows(sink().read(spark), "id", "v") == [(1, "a"), (2, "b"), (3, "c")]
+    sink()(spark.createDataFrame([(2, None, 3, True)], schema), 2)
+    sink()(spark.createDataFrame([(2, "late", 2, False)], schema), 3)
+    sink()(spark.createDataFrame([], schema), 4)
+    (tmp_path / "out" / "rows" / "000000000099").mkdir()  # an attempt that died before its commit
+    assert rows(sink().read(spark), "id", "v") == [(1, "a"), (3, "c")]
+
+
 def test_snapshot_changes(spark, rows):
     a = spark.createDataFrame([("x", 1, 1), ("y", 1, 1), ("z", 1, 1)], "path string, mtime int, size int")
     b = spark.createDataFrame([("y", 2, 1), ("z", 1, 1), ("w", 1, 1)], "path string, mtime int, size int")
