@@ -73,3 +73,32 @@ def test_empty_mix(spark):
     none = documents(spark, {}).where("doc_id = -1")
     assert mixing.mix_documents(none, targets)[0].collect() == []
     assert mixing.mix_documents(documents(spark, {"a": 3}), targets.limit(0))[0].collect() == []
+
+
+def test_inclusion_follows_size_and_totals_hold(spark):
+    import numpy as np
+
+    sizes = {i: 1 + (i * 37) % 200 for i in range(300)}
+    docs = spark.createDataFrame([(i, "a", " x" * n) for i, n in sizes.items()] + [(1000 + i, "b", " y" * 50) for i in range(40)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 5)], "source string, weight double, max_repeats int")
+    full = {r["source"]: r for r in mixing.mix_shares(*mixing.mix_documents(docs, targets), targets).collect()}
+    assert abs(full["a"]["reached_share"] - 0.7) < 0.005 and full["a"]["most_copies"] <= 2 and full["b"]["most_copies"] <= 5
+    mix, plan = mixing.mix_documents(docs, targets, total_tokens=6000)
+    used = {r["source"]: r["used"] for r in mixing.mix_shares(mix, plan, targets).collect()}
+    assert abs(used["a"] - 4200) <= 5 and abs(used["b"] - 1800) <= 25
+    factor = {r["source"]: r["factor"] for r in plan.collect()}
+    tokens = {r["doc_id"]: r["tokens"] for r in mixing.count_tokens(docs.select("doc_id", "source", "text")).collect()}
+    odds = {i: min(2, factor["a"] * tokens[i] ** 0.5) for i in sizes}
+    assert abs(sum(odds[i] * tokens[i] for i in sizes) - 4200) < 2
+    counts = {i: 0 for i in sizes}
+    for seed in range(8):
+        for r in mixing.mix_documents(docs, targets, seed, total_tokens=6000)[0].where("source = 'a'").collect():
+            counts[r["doc_id"]] += r["copies"]
+    small, large = ([i for i in sizes if lo <= tokens[i] < hi] for lo, hi in ((1, 60), (140, 400)))
+    assert np.mean([counts[i] for i in large]) > 1.3 * np.mean([counts[i] for i in small])
+
+
+def test_sizes_beyond_the_cap_are_used_max_repeats_times(spark):
+    sizes = spark.createDataFrame([("a", 1)] * 100 + [("a", 100)], "source string, tokens bigint")
+    plan = spark.createDataFrame([("a", 1.0, 1.0, 1, 200, 190)], "source string, weight double, share double, max_repeats int, available bigint, wanted bigint")
+    assert abs(mixing.size_factors(sizes, plan).first()["factor"] - 0.9) < 1e-9
