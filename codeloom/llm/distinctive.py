@@ -25,6 +25,10 @@ from ..session import checkpoint
 ROUNDS, TOLERANCE = 60, 1e-6
 #: Terms in more than 1/HEAD of the records: fewer than HEAD times the mean number of terms of a record.
 HEAD = 1000
+#: Frequent terms that are broadcast at most (about 100 bytes each); more are joined by shuffle.
+MAX_BROADCAST = 200_000
+#: Cells of a padded block of histograms.
+CELLS = 2_000_000
 
 
 def fit_two_poisson(counts: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,19 +59,31 @@ def elite_posterior(count: np.ndarray, share: np.ndarray, high: np.ndarray, low:
     return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
+def _blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers by rising length, in blocks of at most CELLS padded cells (or one row)."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * (lengths[order[end]] + 1) <= CELLS:
+            end += 1
+        yield order[at:end]
+        at = end
+
+
 def _fit_batches(records: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if not len(b):
-                continue
-            width = max(map(len, b.counts)) + 1
-            counts = np.zeros((len(b), width))
-            freq = np.zeros((len(b), width))
-            for i, (c, n) in enumerate(zip(b.counts, b.freq)):
-                counts[i, 1 : len(c) + 1], freq[i, 1 : len(c) + 1] = c, n
-            freq[:, 0] = records - b.d.to_numpy()
-            share, high, low = fit_two_poisson(counts, freq)
-            yield pd.DataFrame({"term": b.term, "d": b.d, "elite_share": share, "elite_rate": high, "common_rate": low})
+            for rows in _blocks(np.fromiter(map(len, b.counts), int, len(b))):
+                part = b.iloc[rows]
+                width = max(map(len, part.counts)) + 1
+                counts = np.zeros((len(part), width))
+                freq = np.zeros((len(part), width))
+                for i, (c, n) in enumerate(zip(part.counts, part.freq)):
+                    counts[i, 1 : len(c) + 1], freq[i, 1 : len(c) + 1] = c, n
+                freq[:, 0] = records - part.d.to_numpy()
+                share, high, low = fit_two_poisson(counts, freq)
+                yield pd.DataFrame({"term": part.term, "d": part.d, "elite_share": share, "elite_rate": high, "common_rate": low})
 
     return run
 
@@ -89,10 +105,14 @@ def score_terms(entries: DataFrame, key: str = "id", tokens: str = "tokens") ->
         F.collect_list(F.col("c").cast("double")).alias("counts"), F.collect_list(F.col("n").cast("double")).alias("freq"), F.sum("n").alias("d")
     )
     fitted = checkpoint(histogram.mapInPandas(_fit_batches(n), "term string, d long, elite_share double, elite_rate double, common_rate double"))
-    # Frequent terms would be hot keys of the join; there are at most HEAD times the mean record's terms of them.
+    # Frequent terms would be hot keys of the join; there are at most HEAD times the mean record's terms of them,
+    # counted before they are broadcast. Beyond that the skew join splits their rows.
     head = F.col("d") > n / HEAD
-    common = counts.join(F.broadcast(fitted.where(head)), "term")
-    rare = counts.join(F.broadcast(fitted.where(head).select("term")), "term", "left_anti").join(fitted.where(~head), "term")
+    if fitted.where(head).limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        common = counts.join(F.broadcast(fitted.where(head)), "term")
+        rare = counts.join(F.broadcast(fitted.where(head).select("term")), "term", "left_anti").join(fitted.where(~head), "term")
+    else:
+        common, rare = counts.join(fitted, "term"), counts.limit(0).join(fitted, "term")
     odds = (
         F.log(F.col("elite_share") / (1 - F.col("elite_share")))
         + F.col("c") * F.log(F.col("elite_rate") / F.col("common_rate"))
@@ -109,3 +129,10 @@ def top_terms(entries: DataFrame, key: str = "id", tokens: str = "tokens") -> Da
     """key, term: the shared term (d >= 2) of greatest weight, ties to the smallest term."""
     scored = score_terms(entries, key, tokens).where("d >= 2")
     return scored.groupBy(key).agg(F.min(F.struct((-F.col("weight")).alias("w"), "term")).alias("best")).select(key, "best.term")
+
+
+def elite_terms(entries: DataFrame, key: str = "id", tokens: str = "tokens") -> DataFrame:
+    """key, term, posterior: the shared term (d >= 2) the record is most surely about, by the mixture alone; ties to greater weight, then the smallest term."""
+    scored = score_terms(entries, key, tokens).where("d >= 2")
+    best = F.min(F.struct((-F.round("posterior", 9)).alias("p"), (-F.col("weight")).alias("w"), "term", "posterior"))
+    return scored.groupBy(key).agg(best.alias("best")).select(key, "best.term", "best.posterior")

@@ -224,64 +224,69 @@ def is_trivial(comment: str, name: str | None) -> bool:
     return True
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        keep = []
-        for name, doc, source in zip(b["name"], b["doc"], b["head"]):
-            text = doc if doc is not None else heading_comment(source)
-            keep.append(text is not None and not is_trivial(text, name))
-        yield pd.DataFrame({"id": b["id"], "indexed_at": b["indexed_at"], "paired": keep})
+def pair_of(name: str | None, signature: str | None, doc: str | None, source: str) -> tuple[str | None, str, str] | None:
+    """(signature, code, description) of one function, None if its documentation is absent or trivial.
+
+    The signature is found by its regular expression, the body by its stack; without a
+    documentation column the comment within MAX_DISTANCE lines above the signature counts, else the
+    docstring, else (for a form that no pattern knows) the comment that heads the source.
+    """
+    family = family_of(source)
+    first = next(extract_functions(source, family), None) if family else None
+    comment = doc
+    if comment is None and first is not None:
+        lines = source.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        comment = _comment_above(lines, first[1] - 1) or first[5]
+    if comment is None:
+        comment = heading_comment(source)
+    if comment is None or is_trivial(comment, name if name is not None else first[0] if first else None):
+        return None
+    return signature if signature and signature.strip() else first[3] if first else None, first[4] if first else source.strip(), strip_marks(comment)
 
 
 _BLANK = r"^\s*$"
+_PAIR = "method_id long, at long, tie long, signature string, code string, description string"
 
 
-def documented_methods(methods: DataFrame) -> DataFrame:
-    """method_id of every method whose current row pairs code with a description.
+def _pairs(whole: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [pair_of(*row) if row[3] is not None else None for row in zip(b["name"], b["signature"], b["doc"], b["source"])]
+            out = pd.DataFrame({"method_id": b["id"], "at": b["at"], "tie": b["tie"]})
+            if whole:
+                out["signature"], out["code"], out["description"] = ([f[i] if f else None for f in found] for i in range(3))
+            else:
+                out["paired"] = [f is not None for f in found]
+            yield out
 
-    Rows are judged where they lie; only (id, time, verdict) is shuffled to find current rows.
-    """
-    doc = F.when(~F.col("doc_comment").rlike(_BLANK), F.col("doc_comment"))
+    return run
+
+
+def _versions(methods: DataFrame) -> DataFrame:
+    """Versions of methods; of those with one time the greatest hash of the content is the current one."""
     has_code = F.col("source").isNotNull() & ~F.col("source").rlike(_BLANK)
-    rows = methods.where("id is not null").select(
-        "id", "indexed_at", "name", doc.alias("doc"), has_code.alias("has_code"),
-        F.when(doc.isNull() & has_code, F.col("source")).alias("head"),
-    )
-    maybe = F.col("has_code") & (F.col("doc").isNotNull() | F.col("head").isNotNull())
-    judged = spread(rows.where(maybe).select("id", "indexed_at", "name", "doc", "head")).mapInPandas(
-        _judge, "id long, indexed_at timestamp, paired boolean"
-    )
-    verdicts = judged.unionByName(rows.where(~maybe).select("id", "indexed_at", F.lit(False).alias("paired")))
-    never = F.to_timestamp(F.lit("0001-01-01"))
-    return (
-        verdicts.groupBy("id").agg(F.max_by("paired", F.coalesce("indexed_at", never)).alias("paired"))
-        .where("paired").select(F.col("id").alias("method_id"))
+    return methods.where("id is not null").select(
+        F.col("id").cast("long").alias("id"), F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(2**63))).alias("at"),
+        F.xxhash64("name", "signature", "doc_comment", "source").alias("tie"), "name", "signature",
+        F.when(~F.col("doc_comment").rlike(_BLANK), F.col("doc_comment")).alias("doc"), F.when(has_code, F.col("source")).alias("source"),
     )
 
 
-def _pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for id_, name, signature, doc, source in zip(b["id"], b["name"], b["signature"], b["doc"], b["source"]):
-            text = doc if doc is not None else heading_comment(source)
-            if text is None or is_trivial(text, name):
-                continue
-            family = family_of(source)
-            first = next(extract_functions(source, family), None) if family else None
-            code = first[4] if first else source.strip()
-            rows.append((id_, signature if signature and signature.strip() else first[3] if first else None, code, strip_marks(text)))
-        yield pd.DataFrame(rows, columns=["method_id", "signature", "code", "description"])
+def documented_methods(methods: DataFrame) -> DataFrame:
+    """method_id of every method whose current row pairs code with a description.
+
+    Rows are paired where they lie; only (id, time, hash, verdict) is shuffled to find current rows.
+    """
+    judged = spread(_versions(methods)).mapInPandas(_pairs(False), "method_id long, at long, tie long, paired boolean")
+    last = judged.groupBy("method_id").agg(F.max(F.struct("at", "tie", "paired")).alias("last"))
+    return last.where("last.paired").select("method_id")
 
 
 def method_pairs(methods: DataFrame) -> DataFrame:
     """method_id, signature, code (without its comment), description (without marks) of each documented method."""
-    from ..tables import current_rows
-
-    rows = current_rows(methods, ["name", "signature", "doc_comment", "source"])
-    rows = rows.where(F.col("source").isNotNull() & ~F.col("source").rlike(_BLANK)).select(
-        "id", "name", "signature", F.when(~F.col("doc_comment").rlike(_BLANK), F.col("doc_comment")).alias("doc"), "source"
-    )
-    return rows.mapInPandas(_pair, "method_id long, signature string, code string, description string")
+    pairs = spread(_versions(methods)).mapInPandas(_pairs(True), _PAIR)
+    last = pairs.groupBy("method_id").agg(F.max(F.struct("at", "tie", "signature", "code", "description")).alias("last"))
+    return last.where("last.description is not null").select("method_id", "last.signature", "last.code", "last.description")
 
 
 def _from_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,6 +44,11 @@ def p5_scores(spark, sf_dir):
     return distinctive.score_terms(table(spark, sf_dir, "fts_entry"))
 
 
+def p5_elite(spark, sf_dir):
+    """The term each entry is most surely about, by the fitted mixture alone."""
+    return distinctive.elite_terms(table(spark, sf_dir, "fts_entry"))
+
+
 def p6_found(spark, sf_dir):
     return syntax.invalid_files(table(spark, sf_dir, "code_file"), table(spark, sf_dir, "file_text")).select("file_id")
 
@@ -104,7 +109,7 @@ def p10_surrogates(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_neighbours, p3_search, p4_found, p4_scores, p5_found, p5_scores, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions,
+        p3_found, p3_neighbours, p3_search, p4_found, p4_scores, p5_found, p5_scores, p5_elite, p6_found, p6_failures, p6_rates, p7_found, p7_pairs, p7_file_functions,
         p8_ids, p8_round_trip, p9_mix, p9_shares, p10_found, p10_redacted, p10_surrogates,
     )
 }

@@ -190,3 +190,51 @@ def test_surrogates_are_the_same_in_every_text():
 def test_street_and_town_are_invented(value, kept, gone):
     made = fakes("address", [value])[0]
     assert all(k.lower() in made.lower() for k in kept) and not any(g.lower() in made.lower() for g in gone)
+
+
+def test_elite_terms_against_the_mixture(spark):
+    rng = np.random.default_rng(5)
+    entries = {f"e{i}": ["common"] * int(rng.poisson(2)) + ["topic"] * int(rng.poisson(6 if i % 4 == 0 else 0.2)) + [f"t{i % 7}"] for i in range(120)}
+    df = spark.createDataFrame([(k, v) for k, v in entries.items()], "id string, tokens array<string>")
+    got = {r["id"]: (r["term"], r["posterior"]) for r in distinctive.elite_terms(df).collect()}
+    terms = {t for v in entries.values() for t in v}
+    best = {}
+    for term in sorted(terms):
+        counts = np.array([v.count(term) for v in entries.values()])
+        values, freq = np.unique(counts, return_counts=True)
+        fit = distinctive.fit_two_poisson(np.append(values, 0)[None].astype(float), np.append(freq, 0)[None].astype(float))
+        d = int((counts > 0).sum())
+        for key, c in zip(entries, counts):
+            if c and d >= 2:
+                p = float(distinctive.elite_posterior(np.array([c]), *fit)[0])
+                best[key] = min(best.get(key, (1, 0, "")), (-round(p, 9), -c * np.log2(121 / d), term))
+    assert {k: v[0] for k, v in got.items()} == {k: v[2] for k, v in best.items()}
+    assert all(abs(got[k][1] + best[k][0]) < 1e-6 for k in got)
+
+
+def test_histograms_are_fitted_in_bounded_blocks(monkeypatch):
+    monkeypatch.setattr(distinctive, "CELLS", 50)
+    lengths = np.array([3, 40, 1, 2, 60, 5])
+    blocks = list(distinctive._blocks(lengths))
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(6)) and all(len(b) == 1 or len(b) * (lengths[b].max() + 1) <= 50 for b in blocks)
+
+
+@pytest.mark.parametrize(("source", "doc", "want"), [
+    ("// Adds the totals of all orders.\n\nfunc Sum(a int) int {\n\treturn a\n}", None, "Adds the totals of all orders."),
+    ("// far away\n\n\n\nfunc Sum(a int) int { return a }", None, "far away"),
+    ("@wraps\ndef f(a):\n    \"\"\"Reads rows from disk.\"\"\"\n    return a\nx = 1\n", None, "Reads rows from disk."),
+    ("func Sum() {}", "Keeps the ledger open.", "Keeps the ledger open."), ("func Sum() {}", None, None), ("no code here", "Keeps it.", "Keeps it."),
+])
+def test_pair_of(source, doc, want):
+    pair = functions.pair_of("Sum", None, doc, source)
+    assert (pair[2] if pair else None) == want
+    assert not pair or "x = 1" not in pair[1]
+
+
+def test_ties_of_versions_agree(spark, rows):
+    import datetime as dt
+
+    at = dt.datetime(2025, 1, 1)
+    versions = [(i, "f", None, d, "func f() {}", at) for i in range(8) for d in ("Opens the store twice.", "todo")]
+    df = spark.createDataFrame(versions, "id bigint, name string, signature string, doc_comment string, source string, indexed_at timestamp")
+    assert rows(functions.documented_methods(df)) == rows(functions.method_pairs(df), "method_id")
