@@ -4,13 +4,13 @@ A random forest over content measures (compression ratio, token entropy, identif
 comment density and the like) tells files that a machine wrote from hand-written ones. It is
 trained on weak labels - header notices of tools, banners of packed scripts, naming
 conventions - none of which the measures can see: heading comments are cut off before
-measuring, paths are not measured. Copied third-party source reads like any hand-written
-source, so an exact check follows for it: a notice in the heading comment or a directory
-that by convention holds other projects.
+measuring, paths are not measured. The forest alone decides on them, labelled or not. Copied
+third-party source reads like any hand-written source, so an exact check follows for it: a
+notice in the heading comment or a directory that by convention holds other projects.
 
 Defined cases: null content is skipped; empty or blank files are hand-written; a null path
-leaves only the content to judge by; repeated file records count once; when a table has too few
-labelled rows for a forest, only the exact checks decide.
+leaves only the content to judge by; repeated file records count once; a table in which no file,
+or every file, has a label of machine-made ones cannot teach a forest: the labels decide there.
 """
 
 from __future__ import annotations
@@ -25,13 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import busy_partitions, checkpoint
+from ..session import checkpoint, spread
 from .syntax import file_paths
 
 #: Most labelled rows of each class the forest is fitted on (a hash-ordered sample); all rows are judged.
 MAX_TRAINING_ROWS = 20_000
-#: Fewest labelled rows of each class for a forest.
-MIN_TRAINING_ROWS = 20
 
 # Wording of notices, each at the start of a line of the heading comment.
 TOOL_NOTICE = re.compile(
@@ -105,35 +103,34 @@ def measure(text: str) -> list[float]:
     ]
 
 
-_SCHEMA = "file_id long, path string, tool_notice boolean, copy_notice boolean, banner boolean, " + ", ".join(f"{f} double" for f in FEATURES)
+_SCHEMA = "file_id long, tool_notice boolean, copy_notice boolean, banner boolean, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def _measure_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = []
-        for file_id, path, content in zip(b.file_id, b.absolute_path, b.content):
+        for file_id, content in zip(b.file_id, b.content):
             head = heading(content)
             rows.append((
-                file_id, path, bool(TOOL_NOTICE.search(head)), bool(COPY_NOTICE.search(head)), bool(BANNER.match(head)), *measure(content),
+                file_id, bool(TOOL_NOTICE.search(head)), bool(COPY_NOTICE.search(head)), bool(BANNER.match(head)), *measure(content),
             ))
-        yield pd.DataFrame(rows, columns=["file_id", "path", "tool_notice", "copy_notice", "banner", *FEATURES])
+        yield pd.DataFrame(rows, columns=["file_id", "tool_notice", "copy_notice", "banner", *FEATURES])
 
 
 def measured_files(files: DataFrame, texts: DataFrame) -> DataFrame:
     """file_id, path, the notices and the content measures of every file with text."""
-    sources = texts.where("content is not null and file_id is not null").select("file_id", "content")
-    paths = file_paths(files).select(F.col("id").alias("file_id"), "absolute_path")
-    sources = sources.repartition(busy_partitions(texts.sparkSession), "file_id")
-    return sources.where(~F.col("content").rlike(r"^\s*$")).join(paths, "file_id", "left").select(
-        "file_id", "absolute_path", "content"
-    ).mapInPandas(_measure_batches, _SCHEMA)
+    sources = texts.where("content is not null and file_id is not null").where(~F.col("content").rlike(r"^\s*$")).select("file_id", "content")
+    # Texts are measured where they lie; only the measures are joined.
+    measured = spread(sources).mapInPandas(_measure_batches, _SCHEMA)
+    paths = file_paths(files).select(F.col("id").alias("file_id"), F.col("absolute_path").alias("path"))
+    return measured.join(paths, "file_id", "left")
 
 
-def _fit(rows: DataFrame):
+def _fit(rows: DataFrame, leaf: int = 3):
     from pyspark.ml.classification import RandomForestClassifier
 
     forest = RandomForestClassifier(
-        featuresCol="features", labelCol="label", numTrees=40, maxDepth=8, minInstancesPerNode=3, subsamplingRate=0.8, seed=7
+        featuresCol="features", labelCol="label", numTrees=40, maxDepth=8, minInstancesPerNode=leaf, subsamplingRate=0.8, seed=7
     )
     return forest.fit(rows)
 
@@ -166,16 +163,18 @@ def judge_files(files: DataFrame, texts: DataFrame) -> DataFrame:
     counts = rows.agg(
         F.coalesce(F.sum(F.when(F.col("label") == 1.0, 1)), F.lit(0)), F.coalesce(F.sum(F.when(F.col("label") == 0.0, 1)), F.lit(0))
     ).first()
-    known = F.col("tool_notice") | F.col("copied") | F.col("banner")
-    if min(counts) < MIN_TRAINING_ROWS:
-        return rows.select("file_id", "path", F.lit(None).cast("double").alias("score"), "tool_notice", "copied", known.alias("found"))
+    if not min(counts):
+        only = (F.col("label") == 1.0) | F.col("copied")
+        return rows.select("file_id", "path", F.lit(None).cast("double").alias("score"), "tool_notice", "copied", F.coalesce(only, F.lit(False)).alias("found"))
     training = checkpoint(_sample(rows.where("label is not null"), *counts))
     score = vector_to_array("probability")[1]
-    first = _fit(training)
+    leaf = max(1, min(3, min(counts) // 20))  # with few labels a leaf must hold fewer rows
+    first = _fit(training, leaf)
     clean = first.transform(training).where((F.col("label") == 1.0) & (score > 0.3) | (F.col("label") == 0.0) & (score < 0.5))
-    second = _fit(checkpoint(clean.select("file_id", "features", "label")))
+    clean = checkpoint(clean.select("file_id", "features", "label"))
+    second = _fit(clean, leaf) if clean.select("label").distinct().count() == 2 else first
     return second.transform(rows).select(
-        "file_id", "path", score.alias("score"), "tool_notice", "copied", ((score > DECISION) | known).alias("found")
+        "file_id", "path", score.alias("score"), "tool_notice", "copied", ((score > DECISION) | F.col("copied")).alias("found")
     )
 
 
