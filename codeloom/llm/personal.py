@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 
 import pandas as pd
@@ -374,6 +375,23 @@ def _address(value: str, key: bytes) -> str:
     return "".join(out) + value[at:]
 
 
+# Domains reserved for examples and tests, which belong to nobody.
+_RESERVED = re.compile(r"(?i)(?:^|\W)(?:(?:example|test|invalid|localhost)|example\W*(?:\bdot\b\W*)?(?:com|net|org))\W*$")
+_LABEL = re.compile(r"[^\W_](?:[\w-]*\w)?")
+
+
+def _domain(tail: str, key: bytes) -> str:
+    """What follows the local part, with invented labels; the last one and reserved domains stay."""
+    labels = [m for m in _LABEL.finditer(tail) if m.group().lower() not in ("at", "dot")]
+    if _RESERVED.search(tail) or len(labels) < 2:
+        return tail
+    out, at = [], 0
+    for m in labels[:-1]:
+        out += [tail[at : m.start()], _like(_invent(key, "domain", m.group().lower(), 4), m.group()) if m.group()[:1].isupper() else _invent(key, "domain", m.group().lower(), 4).lower()]
+        at = m.end()
+    return "".join(out) + tail[at:]
+
+
 #: Country codes, so that every way to write a number keeps the same digits.
 _LEAD = re.compile(r"(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|0")
 
@@ -388,7 +406,7 @@ def surrogate(kind: str, value: str, key: bytes) -> str:
         head = re.match(rf"(?:{_LOCAL})(?:\sdot\s{_LOCAL})*(?=@|\s|\(|\[|\{{|<)", value, re.I)
         cut = head.end() if head else value.find("@")
         tag = _tag(key, "email", normal_form(kind, value))
-        return (tag.upper() if value[:cut].isupper() and cut > 1 else tag) + value[cut:]
+        return (tag.upper() if value[:cut].isupper() and cut > 1 else tag) + _domain(value[cut:], key)
     lead = _LEAD.match(value) if kind == "phone" else None
     cut = lead.end() if lead else 0
     return value[:cut] + _permute(value[cut:], key, f"{kind}:{value[:cut]}")
@@ -431,9 +449,13 @@ def personal_cases(documents: DataFrame, names: DataFrame) -> DataFrame:
     return spread(texts).mapInPandas(run, "doc_id long, kind string, value string")
 
 
-def redact_documents(documents: DataFrame, names: DataFrame, key: str = "codeloom", mode: str = "placeholder") -> DataFrame:
-    """doc_id, text with every case replaced (mode placeholder or surrogate), cases: how many."""
-    known, secret = _known(names), key.encode()
+def redact_documents(documents: DataFrame, names: DataFrame, key: str | None = None, mode: str = "placeholder") -> DataFrame:
+    """doc_id, text with every case replaced (mode placeholder or surrogate), cases: how many.
+
+    key: the secret that replacements depend on; without one a secret is drawn for this call, so
+    that nobody can compute replacements again.
+    """
+    known, secret = _known(names), (key or secrets.token_hex(32)).encode()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = Detector(known).find

@@ -94,16 +94,20 @@ def _personal(spark, sf_dir):
     return table(spark, sf_dir, "documents"), table(spark, sf_dir, "known_name")
 
 
+def _key(spark) -> str | None:
+    return spark.conf.get("codeloom.redaction.key", None)
+
+
 def p10_found(spark, sf_dir):
     return personal.personal_cases(*_personal(spark, sf_dir))
 
 
 def p10_redacted(spark, sf_dir):
-    return personal.redact_documents(*_personal(spark, sf_dir))
+    return personal.redact_documents(*_personal(spark, sf_dir), _key(spark))
 
 
 def p10_surrogates(spark, sf_dir):
-    return personal.redact_documents(*_personal(spark, sf_dir), mode="surrogate")
+    return personal.redact_documents(*_personal(spark, sf_dir), _key(spark), "surrogate")
 
 
 QUERIES = {

@@ -238,3 +238,27 @@ def test_ties_of_versions_agree(spark, rows):
     versions = [(i, "f", None, d, "func f() {}", at) for i in range(8) for d in ("Opens the store twice.", "todo")]
     df = spark.createDataFrame(versions, "id bigint, name string, signature string, doc_comment string, source string, indexed_at timestamp")
     assert rows(functions.documented_methods(df)) == rows(functions.method_pairs(df), "method_id")
+
+
+@pytest.mark.parametrize("value", ["ana.k@kovanthe-family.org", "ANA@KOVANTHE.COM", "ana (at) mail dot kovanthe dot net"])
+def test_domains_are_invented(value):
+    first = personal.surrogate("email", value, b"k")
+    assert "kovanthe" not in first.lower() and first[-3:] == value[-3:] and first == personal.surrogate("email", value, b"k")
+    assert personal.surrogate("email", "x@kovanthe.com", b"k").split("@")[1] == personal.surrogate("email", "y@kovanthe.com", b"k").split("@")[1] != personal.surrogate("email", "y@other.com", b"k").split("@")[1]
+
+
+def test_a_secret_is_drawn_without_a_key(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.example")], "doc_id bigint, text string")
+    names = spark.createDataFrame([], "token string, role string")
+    first, second = (personal.redact_documents(docs, names).first()["text"] for _ in range(2))
+    assert first != second and "a@b" not in first
+    assert personal.redact_documents(docs, names, "k").first() == personal.redact_documents(docs, names, "k").first()
+
+
+def test_few_labels_teach_a_forest(spark):
+    hand = "def total_of_rows(rows):\n    # adds up what was sold\n    return sum(row.amount for row in rows)\n"
+    data = "T = [" + ",".join(str(i * 37 % 1009) for i in range(900)) + "]\n"
+    texts = [(i, hand.replace("rows", f"{w}_list")) for i, w in enumerate("order item part ship nation".split() * 4)] + [(50 + i, "# Code generated by x. DO NOT EDIT.\n" + data) for i in range(4)] + [(90, data)]
+    files = spark.createDataFrame([(i, f"/repos/a/src/f{i}.py", T0) for i, _ in texts], "id bigint, absolute_path string, indexed_at timestamp")
+    found = {r[0] for r in provenance.foreign_files(files, spark.createDataFrame(texts, "file_id bigint, content string")).collect()}
+    assert found == {50, 51, 52, 53, 90}
