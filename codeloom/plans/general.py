@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import hierarchy, orphans
 from ..tables import table
 
@@ -11,13 +13,18 @@ def p1_found(spark, sf_dir):
 
 
 def p1_paths(spark, sf_dir):
-    return hierarchy.hierarchy_paths(table(spark, sf_dir, "code_class"))
+    """Every path, written with arrows from the top down."""
+    return hierarchy.hierarchy_paths(table(spark, sf_dir, "code_class")).withColumn("path", F.array_join("path", " > "))
 
 
 def p1_descendants(spark, sf_dir):
     return hierarchy.class_descendants(table(spark, sf_dir, "code_class"))
 
 
+def p1_back_links(spark, sf_dir):
+    return hierarchy.back_links(table(spark, sf_dir, "code_class"))
+
+
 def _orphans(spark, sf_dir):
     return orphans.orphan_references(
         *(table(spark, sf_dir, t) for t in ("code_call", "code_class", "code_method", "external_package"))
@@ -32,7 +39,7 @@ def p2_report(spark, sf_dir):
     return orphans.orphan_report(_orphans(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_back_links, p2_found, p2_report)}
 
 _LIVE_CLASS = """
 cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST, deleted_at DESC NULLS LAST) AS rn,
@@ -68,6 +75,16 @@ ORACLES = {
 SELECT a.node AS full_name, min(a.anc) AS cycle_key FROM up a JOIN up b ON a.node = b.anc AND a.anc = b.node
 WHERE a.node IN (SELECT node FROM up WHERE node = anc) GROUP BY a.node""",
     "p1_descendants": _CLOSURE + " SELECT anc AS full_name, node AS descendant FROM up",
+    "p1_paths": f"""WITH RECURSIVE {_LIVE_CLASS},
+up AS (SELECT child AS node, parent AS anc FROM links UNION SELECT up.node, l.parent FROM up JOIN links l ON up.anc = l.child),
+looped AS (SELECT DISTINCT node FROM up WHERE node = anc),
+walk AS (
+  SELECT full_name, full_name AS root, 0 AS depth, [full_name] AS path, full_name IN (SELECT node FROM looped) AS top_in_loop FROM (SELECT DISTINCT full_name FROM cls)
+  WHERE full_name IN (SELECT node FROM looped) OR full_name NOT IN (SELECT child FROM links)
+  UNION ALL
+  SELECT l.child, w.root, w.depth + 1, list_append(w.path, l.child), w.top_in_loop FROM walk w JOIN links l ON l.parent = w.full_name
+  WHERE l.child NOT IN (SELECT node FROM looped))
+SELECT full_name, root, depth, array_to_string(path, ' > ') AS path, top_in_loop FROM walk""",
     "p2_found": _ORPHANS + " SELECT table_name, field, row_id, target FROM orphan",
     "p2_report": _ORPHANS + " SELECT table_name, field, month, count(*) AS orphans, count(DISTINCT target) AS targets FROM orphan GROUP BY ALL",
 }
