@@ -26,9 +26,19 @@ def stable_id(*key: Column) -> Column:
 
 
 def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of the batch replace those of the same key; null keys match each other."""
+    """Rows of the batch replace those of the same key; null keys match each other.
+
+    Of several batch rows of a key the one with the greatest other columns is kept, by column order.
+    """
     rows = existing.alias("e").join(batch.select(*keys).distinct().alias("b"), _null_safe(keys), "left_anti")
-    return rows.select("e.*").unionByName(batch.dropDuplicates(list(keys)))
+    return rows.select("e.*").unionByName(_greatest(batch, keys))
+
+
+def _greatest(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rest = [c for c in batch.columns if c not in keys]
+    if not rest:
+        return batch.distinct()
+    return batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
 
 
 def _null_safe(keys: Sequence[str]) -> Column:

@@ -24,6 +24,34 @@ LAYER_ENDINGS = {
 # Words in names, in order of precedence.
 TECH_WORDS = (("cache", ("cache",)), ("mq", ("queue", "mq")), ("retry", ("retry",)), ("transactional", ("transaction",)), ("async", ("async",)), ("schedule", ("schedule", "cron")), ("batch", ("batch",)))
 RISK_WORDS = ("legacy", "deprecated", "performance", "security")
+# Path segments that name no business domain.
+NO_DOMAIN = (
+    "src", "main", "test", "java", "kotlin", "internal", "pkg", "cmd", "api", "proto", "resources", "webapp", "node_modules", "vendor", "gen", "generated",
+    "third_party", "lib", "project", "app", "module", "packages", "com", "org", "net", "io", "cn",
+    "cache", "mq", "queue", "retry", "transaction", "async", "schedule", "batch", "rpc", "grpc", "http", "rest", "event", "stream", "socket", "ws",
+    "common", "util", "utils", "helper", "helpers", "base", "core", "support", "shared", "misc", "tool", "tools",
+)
+
+
+def domain_tag(path: Column) -> Column:
+    """The path segment nearest to the file that may name a business domain: no dot, two characters, none of the known words."""
+    known = F.array(*[F.lit(w) for w in (*NO_DOMAIN, *(n for names in LAYER_SEGMENTS.values() for n in names))])
+    fits = F.filter(
+        F.split(slashes(path), "/"),
+        lambda s: (F.octet_length(s) > 1) & ~F.contains(s, F.lit(".")) & ~F.array_contains(known, F.lower(s)),
+    )
+    return F.try_element_at(fits, F.lit(-1))
+
+
+def domain_tags(classes: DataFrame, files: DataFrame) -> DataFrame:
+    """(class_id, tag): the business domain of current classes; those without one have no row."""
+    rows = classes.join(files.select(F.col("id").alias("file_id"), "absolute_path"), "file_id")
+    return rows.select(F.col("id").alias("class_id"), domain_tag(F.col("absolute_path")).alias("tag")).where("tag is not null")
+
+
+def all_class_tags(classes: DataFrame, files: DataFrame) -> DataFrame:
+    """(class_id, tag) of current classes: the derived ones and the business domain."""
+    return class_tags(classes, files).unionByName(domain_tags(classes, files)).distinct()
 
 
 def layer_tag(path: Column, class_name: Column) -> Column:

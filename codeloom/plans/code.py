@@ -163,6 +163,14 @@ def class_tags(spark, d):
     return tags.class_tags(_classes(spark, d), _files(spark, d))
 
 
+def domain_tags(spark, d):
+    return tags.domain_tags(_classes(spark, d), _files(spark, d))
+
+
+def all_class_tags(spark, d):
+    return tags.all_class_tags(_classes(spark, d), _files(spark, d))
+
+
 def method_tags(spark, d):
     return tags.method_tags(_methods(spark, d))
 
@@ -237,7 +245,7 @@ QUERIES = {
     for f in (
         language_counts, file_measures, graph_edges, graph_size, degrees, orphan_methods, hot_methods, direct_callers, khop_callers, khop_callees, shortest_path_length,
         hierarchy_edges, reverse_references, file_nodes, module_summary, import_index, import_resolve, file_graph, upsert_latest, replace_by_owner, cascade_delete,
-        hash_gate, entity_diff, class_tags, method_tags, tag_and_search, tag_counts, symbol_enrichment, index_documents, shared_tag_links, context_window,
+        hash_gate, entity_diff, class_tags, domain_tags, all_class_tags, method_tags, tag_and_search, tag_counts, symbol_enrichment, index_documents, shared_tag_links, context_window,
         context_totals, window_text, doc_lines, nearest_class, source_declarations, caller_files,
     )
 }
@@ -280,6 +288,9 @@ ct AS (SELECT DISTINCT id AS class_id, tag FROM (
   UNION ALL SELECT id, CASE WHEN regexp_matches(lower(path), '(_test\\.go|_test\\.py|\\.test\\.ts|_spec\\.rb|_spec\\.ex)$|/(test|tests|testdata|__tests__|spec)/') THEN 'unit'
     WHEN contains(lower(path), '/integration/') THEN 'integration' WHEN regexp_matches(name, '^(Test|Mock)|(Test|Mock)$') THEN 'mock' END FROM cf
   UNION ALL SELECT id, language FROM cf) WHERE tag <> '')"""
+_DOMAIN = f""", dom AS (SELECT id AS class_id, arg_max(seg, pos) AS tag FROM (SELECT id, unnest(string_split(path, '/')) AS seg,
+  generate_subscripts(string_split(path, '/'), 1) AS pos FROM cf WHERE path IS NOT NULL) WHERE strlen(seg) > 1 AND NOT contains(seg, '.')
+  AND lower(seg) NOT IN ({', '.join(repr(w) for w in (*tags.NO_DOMAIN, *(n for names in tags.LAYER_SEGMENTS.values() for n in names)))}) GROUP BY id)"""
 _MTECH = {**_TECH, "mq": ("queue", "mq", "send")}
 _MTAGS = f"""mt AS (SELECT DISTINCT id AS method_id, tag FROM (
   SELECT id, CASE {_case(_MTECH, "contains(lower(name), '{w}')")} END AS tag FROM m UNION ALL SELECT id, {_DOC_RISK} FROM m
@@ -344,6 +355,8 @@ SELECT full_name, CASE WHEN n.start_line IS NULL THEN 'DELETE' WHEN o.start_line
   WHEN o.start_line <= o.end_line AND n.start_line <= n.end_line AND o.start_line <= n.end_line AND n.start_line <= o.end_line THEN 'UPDATE' ELSE 'RELOCATE' END AS action
 FROM o FULL JOIN n USING (full_name)""",
     "class_tags": _TAGS + " SELECT class_id, tag FROM ct",
+    "domain_tags": _TAGS + _DOMAIN + " SELECT class_id, tag FROM dom",
+    "all_class_tags": _TAGS + _DOMAIN + " SELECT class_id, tag FROM ct UNION SELECT class_id, tag FROM dom",
     "method_tags": _BASE + ", " + _MTAGS + " SELECT method_id, tag FROM mt",
     "tag_and_search": _TAGS + " SELECT class_id FROM ct WHERE tag IN ('cache', 'java') GROUP BY class_id HAVING count(DISTINCT tag) = 2",
     "tag_counts": _TAGS + " SELECT CASE " + " ".join(

@@ -33,14 +33,16 @@ def build_session(app: str = "codeloom", cores: int | str = "*", **conf: str) ->
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a folder under the warehouse chosen.
+    Only a local session without that setting (tests, a laptop) takes a folder under the warehouse;
+    on a cluster, whose executors share no such folder, its absence is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", "") or os.path.join(
-            spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints"
-        )
+        shared = spark.conf.get("spark.checkpoint.dir", "")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = shared or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 

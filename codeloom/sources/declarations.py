@@ -39,12 +39,20 @@ SPECS = {
 }
 _CLASS_TYPE = {"interface": "INTERFACE", "@interface": "INTERFACE", "protocol": "INTERFACE", "trait": "ABSTRACT", "enum": "ENUM", "record": "OBJECT", "object": "OBJECT", "module": "OBJECT"}
 _CALL = re.compile(rf"({_NAME}(?:(?:\.|::|->){_NAME})*)\s*\(")
-# Words before a parenthesis that are no calls.
-NO_CALLS = frozenset(
-    "if for while switch return catch throw new delete typeof instanceof import print len cap make append copy close panic recover range defer go assert raise"
-    " yield await async super this self fun val var when is in suspend require check error println fn let mut match impl trait struct enum use mod sizeof printf"
-    " func guard repeat where echo isset empty unset die exit puts loop cd source local export eval def class function elif except with not and or lambda".split()
-)
+# Names before a parenthesis that are no calls.
+NO_CALLS = frozenset((
+    "if", "for", "while", "switch", "return", "catch", "throw", "new", "delete", "typeof", "instanceof", "import", "print", "len", "cap", "make", "append", "copy",
+    "close", "panic", "recover", "range", "defer", "go", "assert", "raise", "yield", "await", "async", "super", "this", "self", "fun", "val", "var", "when", "is",
+    "in", "suspend", "require", "check", "error", "TODO", "println", "fn", "let", "mut", "match", "impl", "trait", "struct", "enum", "use", "mod", "sizeof",
+    "static_cast", "dynamic_cast", "reinterpret_cast", "const_cast", "printf", "func", "guard", "repeat", "where", "associatedtype", "fatalError", "echo", "print_r",
+    "var_dump", "isset", "empty", "unset", "die", "exit", "puts", "require_relative", "attr_accessor", "attr_reader", "attr_writer", "loop", "cd", "source", "local",
+    "export", "eval", "IO.puts", "IO.inspect", "IO.gets", "Enum.map", "Enum.filter", "Enum.reduce", "Enum.each", "Map.get", "Map.put", "String.length",
+    "print_endline", "print_string", "print_int", "List.map", "List.filter", "List.fold_left", "List.iter", "Printf.printf", "failwith", "rec", "done", "pcall",
+    "tostring", "tonumber", "rawget", "rawset", "string.format", "string.len", "table.insert", "table.remove", "math.floor", "math.max", "sprintf", "size", "each",
+    "collect", "findAll", "inject",
+))
+# Words that declare or join, which no pattern above takes for a head.
+_NO_HEADS = frozenset(("def", "class", "function", "elif", "except", "with", "not", "and", "or", "lambda"))
 _BLANK = {
     "hash": re.compile(r"\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|#[^\n]*", re.S),
     "slash": re.compile(r"/\*.*?\*/|//[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S),
@@ -79,12 +87,12 @@ def scan(text: str, language: str) -> Iterator[tuple[str, str, str, str | None,
             owner, method = found.group("name") or found.group("before"), None
             kind = found.group("kind") or found.group("kind2")
             yield "class", owner, _CLASS_TYPE.get(kind, "CLASS"), None, number, "\n".join(doc).strip() or None
-        elif head and head.group("name") not in NO_CALLS:
+        elif head and head.group("name") not in NO_CALLS | _NO_HEADS:
             method = head.group("name")
             yield "method", method, "", owner, number, "\n".join(doc).strip() or None
         for call in _CALL.finditer(clean):
             name = call.group(1)
-            if len(name) > 1 and name not in NO_CALLS and not (head and call.start(1) == head.start("name")):
+            if len(name) > 1 and name not in NO_CALLS and name not in _NO_HEADS and not (head and call.start(1) == head.start("name")):
                 yield "call", name, "direct", method, number, None
         if bare and not bare.startswith("@"):
             doc = []

@@ -133,3 +133,21 @@ def test_metrics(spark, rows):
     assert (r["tp"], r["fp"], r["fn"], r["precision"]) == (1, 1, 2, 0.5)
     s = spark.createDataFrame([("c", "counter", "l", 1.0, 1), ("c", "counter", "l", 2.0, 2), ("g", "gauge", "l", 5.0, 2), ("g", "gauge", "l", 7.0, 1)], "name string, type string, labels string, value double, ts int")
     assert rows(metrics.counters_and_gauges(s), "name", "value") == [("c", 3.0), ("g", 5.0)]
+
+
+def test_domain_of_a_path(spark, rows):
+    from codeloom.operators import tags
+
+    files = spark.createDataFrame([(1, "/project/internal/order/service.go", "go"), (2, "C:\\src\\Billing\\util\\x\\a.go", "go"), (3, None, None), (4, "/src/cache/a.py", None)], "id bigint, absolute_path string, language string")
+    classes = spark.createDataFrame([(i, i, "A", None) for i in (1, 2, 3, 4, 5)], "id bigint, file_id bigint, name string, doc_comment string")
+    assert rows(tags.domain_tags(classes, files)) == [(1, "order"), (2, "Billing")]
+    assert (1, "go") in rows(tags.all_class_tags(classes, files)) and (1, "order") in rows(tags.all_class_tags(classes, files))
+
+
+def test_upsert_of_several_batch_rows_is_defined(spark, rows):
+    from codeloom.operators import store
+
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (None, "n", 1)], "id int, v string, t int")
+    for order in ([(1, "c", 2), (1, "d", 1), (None, "m", 2)], [(None, "m", 2), (1, "d", 1), (1, "c", 2)]):
+        assert rows(store.upsert(old, spark.createDataFrame(order, "id int, v string, t int"), ["id"]).where("id is not null")) == [(1, "d", 1), (2, "b", 1)]
+    assert store.upsert(old, spark.createDataFrame([], "id int, v string, t int"), ["id"]).count() == 3
