@@ -4,6 +4,8 @@ Plan: find connected components of the link graph, co-locate each component (man
 packed into one bucket) and walk it depth-first with node colours. A component with more links
 than ``max_component_links`` never enters one task: it is peeled, its cyclic core is coloured
 and its paths and descendants grow level by level, all with joins. Both ways give equal rows.
+Back edges depend on the order of the whole walk, so a loop of any size is walked in one task for
+them, over links on disk.
 
 Defined cases: null, empty or blank names are no classes and no parents; repeated parents are
 one link; parents that are no live class are no link; a class that is its own parent is a loop;
@@ -12,9 +14,12 @@ an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -251,47 +256,71 @@ def loop_members(links: DataFrame, max_component_links: int = MAX_COMPONENT_LINK
     return found
 
 
-def _back_in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links to a grey node of a depth-first walk upwards, nodes and parents in order of their ids."""
-    up = {child: sorted(parents) for child, parents in _adjacency(pdf, "child", "parent").items()}
-    colour: dict[int, str] = {}
-    back = []
-    for start in sorted(up):
-        if start in colour:
-            continue
-        colour[start] = "grey"
-        work = [(start, iter(up[start]))]
-        while work:
-            node, rest = work[-1]
-            parent = next(rest, None)
-            if parent is None:
-                colour[node] = "black"
-                work.pop()
-            elif parent not in colour:
-                colour[parent] = "grey"
-                work.append((parent, iter(up.get(parent, ()))))
-            elif colour[parent] == "grey":
-                back.append((node, parent))
-    return pd.DataFrame(back, columns=["child", "parent"]).astype("int64")
+def _back_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links to a grey node of a depth-first walk upwards, nodes and parents in order of their ids.
+
+    Takes the inner links of whole loops by child and parent. Parents lie in a scratch file, 8 bytes
+    a link; memory holds 33 bytes a class, and as much again while they are put together.
+    """
+    scratch = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+    with tempfile.TemporaryFile(dir=scratch) as file:
+        runs = []
+        for batch in batches:
+            runs.append(np.unique(batch.column("child").to_numpy(), return_counts=True))
+            file.write(batch.column("parent").to_numpy().astype(np.int64).tobytes())
+        file.flush()
+        if not file.tell():
+            return
+        ids, sizes = (np.concatenate(x).astype(np.int64) for x in zip(*runs))
+        del runs
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        ids, last = ids[starts], np.cumsum(np.add.reduceat(sizes, starts))
+        above = np.memmap(file, np.int64, "r+")
+        for i in range(0, len(above), CHUNK):
+            above[i : i + CHUNK] = np.searchsorted(ids, above[i : i + CHUNK])
+        # Scalars come faster out of views than out of arrays. ``at``: the next link of a node; ``below``: where the walk came from.
+        at, below = memoryview(np.r_[0, last[:-1]]), memoryview(np.empty(len(ids), np.int64))
+        del sizes, starts
+        above, last, ids = memoryview(above), memoryview(last), memoryview(ids)
+        white, grey, black = 0, 1, 2
+        colour = bytearray(len(ids))
+        children, parents = [], []
+        for top in range(len(ids)):
+            if colour[top] != white:
+                continue
+            node, colour[top], below[top] = top, grey, -1
+            while node >= 0:
+                link = at[node]
+                if link == last[node]:
+                    colour[node] = black
+                    node = below[node]
+                    continue
+                at[node] = link + 1
+                parent = above[link]
+                if colour[parent] == white:
+                    colour[parent], below[parent] = grey, node
+                    node = parent
+                elif colour[parent] == grey:
+                    children.append(ids[node])
+                    parents.append(ids[parent])
+                    if len(children) >= CHUNK:
+                        yield _flush({"child": children, "parent": parents})
+                        children, parents = [], []
+        yield _flush({"child": children, "parent": parents})
 
 
 def back_links(classes: DataFrame, max_component_links: int = MAX_COMPONENT_LINKS) -> DataFrame:
     """(full_name, parent, cycle_key): links that close a loop in a depth-first walk upwards; without them there is none.
 
-    Loops of more than ``max_component_links`` links are not walked in a task: of these every
-    link to a smaller or equal id comes out, which leaves no loop either.
+    The walk is the same for loops of any size; ``max_component_links`` only says how loops are found.
     """
     h = build_hierarchy(classes)
     loops = checkpoint(loop_members(h.links, max_component_links))
     inner = h.links.join(loops.select(F.col("node").alias("child"), "loop"), "child").join(
         loops.select(F.col("node").alias("parent"), F.col("loop").alias("above")), "parent"
     ).where("loop = above").select("child", "parent", "loop")
-    sizes = inner.groupBy("loop").agg(F.count(F.lit(1)).alias("n"))
-    inner = checkpoint(inner.join(sizes, "loop"))
-    total = inner.where(F.col("n") <= max_component_links).count()
-    small = inner.where(F.col("n") <= max_component_links).withColumn("bucket", F.pmod(F.xxhash64("loop"), F.lit(max(1, -(-total // BUCKET_LINKS)))))
-    found = small.select("bucket", "child", "parent").groupBy("bucket").applyInPandas(_back_in_bucket, "child long, parent long").unionByName(
-        inner.where(F.col("n") > max_component_links).where("parent <= child").select("child", "parent")
+    found = inner.repartition("loop").sortWithinPartitions("child", "parent").select("child", "parent").mapInArrow(
+        _back_in_partition, "child long, parent long"
     )
     keys = loops.join(h.nodes, "node").groupBy("loop").agg(F.min("full_name").alias("cycle_key"))
     named = found.join(loops.withColumnRenamed("node", "child"), "child").join(keys, "loop")

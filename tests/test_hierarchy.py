@@ -93,6 +93,48 @@ def test_back_links_open_every_loop(spark, rows, bound):
     assert not any(n in above for n, above in closure(left).items())
 
 
+def walked_back_links(links):
+    """Back edges of a recursive walk within each loop, names in order."""
+    above = closure(links)
+    same = lambda a, b: b in above.get(a, ()) and a in above.get(b, ())
+    colour, back = {}, set()
+
+    def walk(node):
+        colour[node] = "grey"
+        for parent in sorted(p for c, p in links if c == node and same(c, p)):
+            if parent not in colour:
+                walk(parent)
+            elif colour[parent] == "grey":
+                back.add((node, parent, min(n for n in above if same(n, node))))
+        colour[node] = "black"
+
+    for node in sorted(n for n in above if same(n, n)):
+        if node not in colour:
+            walk(node)
+    return sorted(back)
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_back_links_do_not_depend_on_the_bound(spark, rows, seed):
+    names, links = random_links(seed, 25, 45)
+    df = classes(spark, links, names)
+    wanted = walked_back_links(links)
+    assert wanted and rows(H.back_links(df, 10_000)) == rows(H.back_links(df, 1)) == wanted
+
+
+def test_back_links_of_a_ring_in_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(H, "CHUNK", 7)
+    n = 5000
+    links = sorted([(i, (i + 1) % n) for i in range(n)] + [(i, i - 10) for i in range(10, n, 10)])
+    table = pa.table({"child": [c * 3 for c, _ in links], "parent": [p * 3 for _, p in links]})
+    batches = list(H._back_in_partition(iter(table.to_batches(max_chunksize=11))))
+    got = [(c // 3, p // 3) for b in batches for c, p in zip(*(x.to_pylist() for x in b.columns))]
+    assert sorted(got) == sorted([(n - 1, 0)] + [(i, i - 10) for i in range(10, n, 10)])
+    assert max(b.num_rows for b in batches) <= 7 and list(H._back_in_partition(iter([]))) == []
+
+
 def test_long_chain_and_diamonds_come_out_in_chunks(monkeypatch):
     import pyarrow as pa
 
